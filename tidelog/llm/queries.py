@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import exact_dedup, mixing, packing
+from tidelog.llm import exact_dedup, langid, lm, mixing, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 4, 2))
+    return langid.predict(docs, langid.train(docs.where("not held_out")), extra=("held_out",))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = lm.train_rows(table(spark, sf_dir, "documents"))
+    scored = lm.score(docs, "_train")
+    return scored.select("doc_id", langid.held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -32,6 +43,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op4_mixing": op4_mixing,
+    "op5_langid": op5_langid,
+    "op7_lm_scoring": op7_lm_scoring,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
