@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.patterns import matches, to_java
-from tidelog.functions.timing import floor_hour
+from tidelog.schema import HOUR_NS
 
 
 @dataclass(frozen=True)
@@ -28,30 +28,20 @@ class LogQuery:
         """A range without extent, or a pattern that is none, selects nothing."""
         return self.start >= self.end or self.min_severity > self.max_severity or (bool(self.source) and to_java(self.source) is None)
 
-    def predicate(self, with_hour: bool = False) -> Column:
-        """On columns ts, severity, source; ``with_hour`` adds the hours' range, which prunes partitions."""
+    def predicate(self) -> Column:
+        """On columns ts, severity, source."""
         if self.empty:
             return F.lit(False)
         found = F.col("ts").between(self.start, self.end) & F.col("severity").between(self.min_severity, self.max_severity)
-        if with_hour:
-            found = F.col("hour").between(floor_hour(self.start), floor_hour(self.end)) & found
         return found & matches(F.col("source"), self.source) if self.source else found
 
 
-def any_of(queries: Iterable[LogQuery], with_hour: bool = False) -> Column:
+def any_of(queries: Iterable[LogQuery]) -> Column:
     """Entries that some query selects; none for an empty list."""
-    live = [q.predicate(with_hour) for q in queries if not q.empty]
+    live = [q.predicate() for q in queries if not q.empty]
     return reduce(Column.__or__, live) if live else F.lit(False)
 
 
-def hull(queries: Iterable[LogQuery]) -> Column | None:
-    """Hours that any query may touch, as one range that files and partitions are pruned by."""
-    live = [q for q in queries if not q.empty]
-    if not live:
-        return None
-    return F.col("hour").between(floor_hour(min(q.start for q in live)), floor_hour(max(q.end for q in live)))
-
-
 def per_query(entries: DataFrame, queries: Iterable[LogQuery]) -> DataFrame:
     """Every query's entries, one after the other: an entry comes once per query that selects it."""
     parts = [entries.where(q.predicate()) for q in queries]
@@ -66,7 +56,7 @@ def query_table(entries: DataFrame, queries: DataFrame) -> DataFrame:
     the hours they touch, so that the semi join is an equi-join on the hour,
     whatever the sizes.
     """
-    hour = 3_600_000_000_000
+    hour = HOUR_NS
     live = queries.where("start < end and min_severity <= max_severity")
     cut = live.withColumn("_hour", F.explode(F.expr(f"sequence(start - pmod(start, {hour}L), end, {hour}L)")))
     q = cut.select("_hour", *[F.col(c).alias(f"_{c}") for c in ("start", "end", "min_severity", "max_severity", "source")])

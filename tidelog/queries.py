@@ -486,7 +486,10 @@ def acl_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _through(spark: SparkSession, rows: DataFrame, files: int, order: str, transform: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """Rows as a stream of JSON files in their order, a file per micro-batch, through a transformation."""
     base = work_dir(spark)
-    rows.repartitionByRange(files, order).sortWithinPartitions(order).write.json(f"{base}/in")
+    cuts = [None, *rows.approxQuantile(order, [i / files for i in range(1, files)], 0.0), None]
+    for low, high in zip(cuts, cuts[1:], strict=False):  # one after the other: a stream takes files by age
+        own = rows.where((F.lit(True) if low is None else F.col(order) > low) & (F.lit(True) if high is None else F.col(order) <= high))
+        own.repartition(1).write.mode("append").json(f"{base}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(f"{base}/in")
     writer = transform(stream).writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
     if mode == "append":
@@ -522,7 +525,7 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_latest_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state after all micro-batches is the batch result."""
-    got = _through(spark, beats(spark, sf_dir), 3, "seq", ingest.latest_beats, "update").where("live")
+    got = _through(spark, beats(spark, sf_dir), 3, "seq", lambda s: ingest.latest_beats(s, timeout_ms=None), "update").where("live")
     return got.groupBy("addr").agg(F.max_by(F.struct("ts", "size", "limit"), "batch").alias("_s")).select("addr", "_s.ts", "_s.size", "_s.limit")
 
 

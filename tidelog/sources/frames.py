@@ -21,8 +21,7 @@ def parse_entries(lines: DataFrame, column: str = "value") -> DataFrame:
     """
     text = F.col(column)
     parsed = lines.withColumn("_v", F.try_parse_json(text)).where("schema_of_variant(_v) like 'OBJECT<%'")
-    fields = F.expr("cast(_v as map<string, variant>)")
-    wanted = parsed.withColumn("_m", F.map_entries(fields))
+    wanted = parsed.withColumn("_m", F.map_entries(F.try_variant_get("_v", "$", "map<string, variant>")))
 
     def pick(name: str) -> Column:
         own = F.filter(F.col("_m"), lambda e: F.lower(e["key"]) == name)

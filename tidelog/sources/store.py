@@ -1,4 +1,4 @@
-"""A log store: a Parquet table partitioned by source and UTC hour."""
+"""A log store: a Parquet table partitioned by source and span of time."""
 
 from __future__ import annotations
 
@@ -6,31 +6,40 @@ import time
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.functions.codec import entry_size, source_key, source_of
 from tidelog.functions.patterns import matches
 from tidelog.functions.timing import floor_hour, hour_floor
 from tidelog.operators.balance import oldest_chunk
+from tidelog.operators.coverage import hours
 from tidelog.operators.merge import merge, without_late
-from tidelog.plans.query import LogQuery, any_of, hull, per_query
-from tidelog.schema import FILE
+from tidelog.plans.query import LogQuery, any_of, per_query
+from tidelog.schema import FILE, HOUR_NS
 
-#: Rows of a file at most; a full hour of a busy source is several files.
+#: Rows of a file at most; a full span of a busy source is several files.
 MOST_ROWS = 5_000_000
+DAY_NS = 24 * HOUR_NS
 
 
 class LogStore:
     """Entries below one path.
 
     The source stands in the partition value alone, so a pattern on the
-    source is a filter on partitions, and every query also filters hours.
+    source is a filter on partitions, and every query also filters the spans
+    it touches.  A span is a day; for sources that fill files within an hour
+    it may be an hour.  What is kept, dropped and moved is always an hour.
     Files are sorted by time; their statistics skip what lies outside.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, span: int = DAY_NS):
+        if span <= 0 or span % HOUR_NS:
+            raise ValueError("a span is a number of hours")
+        self.spark, self.path, self.span = spark, path.rstrip("/"), span
+
+    def _floor(self, ts: int) -> int:
+        return ts - ts % self.span
 
     # -- files ---------------------------------------------------------------
 
@@ -44,7 +53,7 @@ class LogStore:
         return fs.exists(at) and any(s.isDirectory() for s in fs.listStatus(at))
 
     def _partitions(self, keys: Iterable[str] | None = None) -> list[tuple[str, int, str]]:
-        """Key, hour and path of every partition (metadata only)."""
+        """Key, start of the span and path of every partition (metadata only)."""
         if not self.exists():
             return []
         fs, at = self._fs()
@@ -56,8 +65,8 @@ class LogStore:
                 continue
             key = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name.split("=", 1)[1])
             if wanted is None or key in wanted:
-                for hour in fs.listStatus(source.getPath()):
-                    found.append((key, int(hour.getPath().getName().split("=", 1)[1]), hour.getPath().toString()))
+                for part in fs.listStatus(source.getPath()):
+                    found.append((key, int(part.getPath().getName().split("=", 1)[1]), part.getPath().toString()))
         return found
 
     # -- writing -------------------------------------------------------------
@@ -76,43 +85,48 @@ class LogStore:
             F.coalesce("source", F.lit("")).alias("source"),
             F.coalesce("message", F.lit("")).alias("message"),
             *([F.col(arrival).alias("_arrival")] if arrival else []),
-        ).withColumn("hour", hour_floor(F.col("ts")))
+        )
         if arrival:
-            rows = without_late(rows, "_arrival")
+            rows = without_late(rows.withColumn("hour", hour_floor(F.col("ts"))), "_arrival")
             if self.exists():
                 bound = self.table().groupBy(source_key(F.col("source")).alias("_k"), F.col("hour").alias("_h")).agg(F.max("ts").alias("_max"))
                 rows = rows.withColumn("_key", source_key(F.col("source")))
                 rows = rows.join(bound, (F.col("_key") == F.col("_k")) & (F.col("hour") == F.col("_h")), "left").where("ts >= coalesce(_max, ts)")
-        self._write(rows.select("ts", "severity", "message", source_key(F.col("source")).alias("source_key"), "hour"), self.path, "append")
+        self._write(rows, "append")
 
-    def _write(self, rows: DataFrame, path: str, mode: str) -> None:
-        # rebalancing splits an hour that is too large for one task, which repartitioning by key would not
-        dealt = rows.hint("rebalance", "source_key", "hour").sortWithinPartitions("source_key", "hour", "ts")
-        dealt.write.partitionBy("source_key", "hour").option("maxRecordsPerFile", MOST_ROWS).option("partitionOverwriteMode", "dynamic").mode(mode).parquet(path)
+    def _write(self, rows: DataFrame, mode: str) -> None:
+        start = F.col("ts") - F.pmod(F.col("ts"), F.lit(self.span))
+        files = rows.select("ts", "severity", "message", source_key(F.col("source")).alias("source_key"), start.alias("span"))
+        # rebalancing splits a span that is too large for one task, which repartitioning by key would not
+        dealt = files.hint("rebalance", "source_key", "span").sortWithinPartitions("source_key", "span", "ts")
+        dealt.write.partitionBy("source_key", "span").option("maxRecordsPerFile", MOST_ROWS).option("partitionOverwriteMode", "dynamic").mode(mode).parquet(self.path)
 
     # -- reading -------------------------------------------------------------
 
     def table(self) -> DataFrame:
-        """ts, severity, source, message, hour of everything, from a fresh listing."""
+        """ts, severity, source, message, hour, span of everything, from a fresh listing."""
         if not self.exists():
             files = self.spark.createDataFrame([], FILE)
         else:
             files = self.spark.read.schema(FILE).parquet(self.path)
-        return files.select("ts", "severity", source_of(F.col("source_key")).alias("source"), "message", "hour")
+        return files.select("ts", "severity", source_of(F.col("source_key")).alias("source"), "message", hour_floor(F.col("ts")).alias("hour"), "span")
+
+    def _within(self, queries: Iterable[LogQuery]) -> Column:
+        """Spans that any query may touch, and times between the first and the last that any asks for."""
+        live = [q for q in queries if not q.empty]
+        if not live:
+            return F.lit(False)
+        start, end = min(q.start for q in live), max(q.end for q in live)
+        return F.col("span").between(self._floor(start), self._floor(end)) & F.col("ts").between(start, end)
 
     def scan(self, query: LogQuery) -> DataFrame:
         """Entries of one query, duplicates included."""
-        return self.table().where(query.predicate(with_hour=True)).select("ts", "severity", "source", "message")
+        return self.table().where(self._within([query]) & query.predicate()).select("ts", "severity", "source", "message")
 
     def read(self, *queries: LogQuery, dedup: str | bool = "set", sort: bool = False) -> DataFrame:
         """Entries that any query selects, in one scan; no query selects nothing."""
-        table, hours = self.table(), hull(queries)
-        if hours is None:
-            return table.where(F.lit(False)).select("ts", "severity", "source", "message")
-        if dedup is False:
-            found = per_query(table.where(hours), queries)
-        else:
-            found = table.where(hours & any_of(queries, with_hour=True))
+        table = self.table().where(self._within(queries))
+        found = per_query(table, queries) if dedup is False else table.where(any_of(queries))
         return merge([found.select("ts", "severity", "source", "message")], dedup, sort)
 
     def size(self) -> DataFrame:
@@ -120,16 +134,46 @@ class LogStore:
         return self.table().groupBy("source").agg(F.count(F.lit(1)).alias("entries"), F.sum(entry_size(F.col("source"), F.col("message"))).alias("bytes"))
 
     def coverage(self) -> DataFrame:
-        """source, hour, from the listing alone."""
-        rows = [(k, h) for k, h, _ in self._partitions()]
-        return self.spark.createDataFrame(rows, "source_key string, hour long").select(source_of(F.col("source_key")).alias("source"), "hour")
+        """source, hour of all entries."""
+        return hours(self.table())
 
     # -- lifecycle -----------------------------------------------------------
 
     def truncate(self, limit: int, source: str = "") -> int:
-        """Drop the hour of ``limit`` and all before it, of matching sources; the number of partitions dropped."""
-        names = self.coverage().select("source").distinct().where(matches(F.col("source"), source)).select(source_key(F.col("source")).alias("k"))
-        return self._drop([p for p in self._partitions(r["k"] for r in names.collect()) if p[1] <= floor_hour(limit)])
+        """Drop the hour of ``limit`` and all before it, of matching sources; the number of partitions touched.
+
+        Whole spans go without being read; the span of ``limit`` is rewritten.
+        """
+        stop = floor_hour(limit) + HOUR_NS
+        keys = self.spark.createDataFrame(sorted({(p[0],) for p in self._partitions()}), "k string")
+        wanted = [r["k"] for r in keys.where(matches(source_of(F.col("k")), source)).collect()]
+        before = [p for p in self._partitions(wanted) if p[1] < stop]
+        gone = [p for p in before if p[1] + self.span <= stop]
+        partly = [p for p in before if p[1] + self.span > stop]
+        for key, start, _ in partly:
+            self._rewrite(key, start, F.col("ts") >= stop)
+        return self._drop(gone) + len(partly)
+
+    def _rewrite(self, key: str, start: int, keep: Column) -> None:
+        """Replace one partition by those of its entries that stay; staged first, for it is read meanwhile."""
+        rows = self.table().where((F.col("span") == start) & (source_key(F.col("source")) == key) & keep)
+        self._replace(rows.select("ts", "severity", "source", "message"), key, start)
+
+    def _replace(self, rows: DataFrame, key: str, start: int) -> None:
+        stage = f"{self.path}.staged-{uuid.uuid4().hex}"
+        try:
+            rows.write.parquet(stage)
+            staged = self.spark.read.schema(rows.schema).parquet(stage)
+            if staged.isEmpty():
+                self._drop([p for p in self._partitions([key]) if p[1] == start])
+            else:
+                self._write(staged, "overwrite")  # of this partition alone
+        finally:
+            fs, at = self._fs(stage)
+            fs.delete(at, True)
+
+    def _key(self, source: str) -> str:
+        return self.spark.range(1).select(source_key(F.lit(source)).alias("k")).first()["k"]
 
     def _drop(self, partitions: list[tuple[str, int, str]]) -> int:
         for _, _, path in partitions:
@@ -141,7 +185,7 @@ class LogStore:
         return len(partitions)
 
     def chunks(self) -> DataFrame:
-        """source, hour, size (bytes of entries) of every partition."""
+        """source, hour, size (bytes of entries) of every hour."""
         return self.table().groupBy("source", "hour").agg(F.sum(entry_size(F.col("source"), F.col("message"))).alias("size"))
 
     def next_chunk(self, budget: int, now: int | None = None) -> tuple[str, int, int] | None:
@@ -150,30 +194,19 @@ class LogStore:
         return (found["source"], found["hour"], found["size"]) if found else None
 
     def chunk(self, source: str, hour: int) -> DataFrame:
-        return self.table().where((F.col("hour") == hour) & (F.col("source") == source)).select("ts", "severity", "source", "message")
+        table = self.table().where((F.col("span") == self._floor(hour)) & F.col("ts").between(hour, hour + HOUR_NS - 1) & (F.col("source") == source))
+        return table.select("ts", "severity", "source", "message")
 
     def accept(self, source: str, hour: int, entries: DataFrame) -> None:
-        """Merge entries into a chunk; doing it again changes nothing.
-
-        The merged chunk is staged beside the table first: a chunk that is
-        read is never overwritten in the same job.
-        """
+        """Merge entries into a chunk; doing it again changes nothing."""
         own = entries.where((F.col("source") == source) & (hour_floor(F.col("ts")) == hour)).select("ts", "severity", "source", "message")
-        merged = merge([own, self.chunk(source, hour)])
-        stage = f"{self.path}.staged-{uuid.uuid4().hex}"
-        try:
-            merged.write.parquet(stage)
-            rows = self.spark.read.schema(merged.schema).parquet(stage)
-            rows = rows.select("ts", "severity", "message", source_key(F.col("source")).alias("source_key"), F.lit(hour).alias("hour"))
-            self._write(rows, self.path, "overwrite")
-        finally:
-            fs, at = self._fs(stage)
-            fs.delete(at, True)
+        span = self.table().where((F.col("span") == self._floor(hour)) & (F.col("source") == source) & (F.col("hour") != hour))
+        rest = span.select("ts", "severity", "source", "message")
+        self._replace(merge([merge([own, self.chunk(source, hour)]), rest], dedup=False), self._key(source), self._floor(hour))
 
-    def delete_chunk(self, source: str, hour: int) -> int:
-        """Drop one chunk and nothing else."""
-        key = self.spark.range(1).select(source_key(F.lit(source)).alias("k")).first()["k"]
-        return self._drop([p for p in self._partitions([key]) if p[1] == hour])
+    def delete_chunk(self, source: str, hour: int) -> None:
+        """Drop one hour of a source and nothing else."""
+        self._rewrite(self._key(source), self._floor(hour), ~F.col("ts").between(hour, hour + HOUR_NS - 1))
 
     def transfer(self, to: LogStore, budget: int, now: int | None = None) -> list[tuple[str, int, int]]:
         """Move oldest chunks while the budget lasts; what was moved.

@@ -69,8 +69,12 @@ def hourly(entries: DataFrame, delay: str = "0 seconds") -> DataFrame:
     return counted.select("source", (F.unix_micros("window.start") * 1000).alias("hour_start"), "entries")
 
 
-def latest_beats(beats: DataFrame, arrival: str = "seq", timeout_ms: int = TIMEOUT_NS // 10**6) -> DataFrame:
-    """addr, ts, size, limit, live: an update per address with news, and one when it has been silent for too long."""
+def latest_beats(beats: DataFrame, arrival: str = "seq", timeout_ms: int | None = TIMEOUT_NS // 10**6) -> DataFrame:
+    """addr, ts, size, limit, live: an update per address with news, and one when it has been silent for too long.
+
+    Without a timeout no host ever goes.  A stream with one has always one
+    more batch to run, so it is no use with ``availableNow``.
+    """
     out = "addr string, ts long, size long, limit long, live boolean"
 
     def newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -83,10 +87,12 @@ def latest_beats(beats: DataFrame, arrival: str = "seq", timeout_ms: int = TIMEO
         best = rows.iloc[0]
         if not state.exists or int(best["ts"]) > state.get[0]:
             state.update((int(best["ts"]), int(best["size"]), int(best["limit"])))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms is not None:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame([(key[0], *state.get, True)], columns=["addr", "ts", "size", "limit", "live"])
 
-    return beats.groupBy("addr").applyInPandasWithState(newest, out, "ts long, size long, limit long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timer = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return beats.groupBy("addr").applyInPandasWithState(newest, out, "ts long, size long, limit long", "update", timer)
 
 
 def plan_transfers(hosts: DataFrame, checkpoint: str, sink, **trigger) -> StreamingQuery:
