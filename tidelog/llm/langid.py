@@ -114,12 +114,14 @@ class Ppm:
         n = np.array([c[2] for c in counts], np.float64)
         mask = (1 << _BITS) - 1
         seen = np.unique(gram & mask)
-        # class 0 is the start of a text and every byte not seen in training
-        self.of = np.zeros(mask + 1, np.int64)
-        self.of[seen] = np.arange(1, seen.size + 1)
-        width, langs = seen.size + 1, len(self.langs)
+        # class 0 is the start of a text, 1 any byte not seen in training
+        self.of = np.ones(mask + 1, np.int64)
+        self.of[0] = 0
+        self.of[seen] = np.arange(2, seen.size + 2)
+        width, langs = seen.size + 2, len(self.langs)
         symbols = np.stack([self.of[(gram >> (_BITS * i)) & mask] for i in range(order + 1)])  # 0: the byte itself
         below = np.full((1, width, langs), 1 / 256)
+        below[:, 0] = 0
         keys_below, blocks, self.width = np.zeros(1, np.int64), [], width
         first = 0
         tables = []
@@ -127,7 +129,6 @@ class Ppm:
             context = np.zeros(gram.size, np.int64)
             for i in range(k, 0, -1):
                 context = context * width + symbols[i]
-            total = np.zeros(0)
             keys, at = np.unique(context, return_inverse=True)
             total = np.bincount(at, weights=n, minlength=keys.size)
             kept = (total >= least) | (k == 0)
@@ -144,7 +145,7 @@ class Ppm:
             blocks.append(below)
             tables.append((k, keys, first))
             first += keys.size
-        self.bits = (-np.log2(np.concatenate(blocks))).astype(np.float32).reshape(-1, langs)
+        self.bits = (-np.log2(np.maximum(np.concatenate(blocks), 1e-300))).astype(np.float32).reshape(-1, langs)
         # row of the longest known context for every combination of the last bytes
         self.row = np.zeros(width**order, np.int32)
         every = np.arange(width**order, dtype=np.int64)
