@@ -49,12 +49,10 @@ def test_level_choice():
             if h + n < size:
                 after[h + n] = after.get(h + n, 0) + 1
             cost[h] = sum(c * c for c in after.values())
-        before = {k: len(v) for k, v in packer.windows.items() if v}
         packer.place((0, 0, n, n, b""))
         after = {k: len(v) for k, v in packer.windows.items() if v}
         assert sum(c * c for c in after.values()) == min(cost.values())
         levels = defaultdict(int, after)
-        del before
 
 
 def test_pack(spark, reference):
@@ -90,7 +88,7 @@ def test_small_open_limit(spark):
     d = spark.createDataFrame([(i, "word " * (i % 50)) for i in range(300)], "doc_id long, text string").coalesce(1)
     got = pack(d, size=64, most_open=2)
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 64").count() == 0
-    assert got.agg(F.sum("length")).first()[0] == d.select(F.sum(F.size(F.split("text", " ")))).first()[0] or got.count() > 0
+    assert got.agg(F.sum("length")).first()[0] == pack(d, size=64).agg(F.sum("length")).first()[0]
 
 
 def test_edits(reference):
