@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -95,10 +95,21 @@ def latest_beats(beats: DataFrame, arrival: str = "seq", timeout_ms: int | None
     return beats.groupBy("addr").applyInPandasWithState(newest, out, "ts long, size long, limit long", "update", timer)
 
 
-def plan_transfers(hosts: DataFrame, checkpoint: str, sink, **trigger) -> StreamingQuery:
-    """Hand ``sink`` the transfers that follow from every micro-batch of the newest heartbeats."""
+def plan_transfers(hosts: DataFrame, checkpoint: str, sink: Callable[[DataFrame], object], **trigger) -> StreamingQuery:
+    """Hand ``sink`` the transfers that follow from all hosts, after every micro-batch of ``latest_beats``.
+
+    The driver holds a row per host; after a restart it learns them again from
+    their next heartbeats.
+    """
+    known: dict[str, tuple[int, int]] = {}
 
     def write(batch: DataFrame, _: int) -> None:
-        sink(transfers(batch.where("live").select("addr", "size", "limit")))
+        for r in batch.select("addr", "size", "limit", "live").collect():
+            if r["live"]:
+                known[r["addr"]] = (r["size"], r["limit"])
+            else:
+                known.pop(r["addr"], None)
+        rows = [(a, s, m) for a, (s, m) in sorted(known.items())]
+        sink(transfers(batch.sparkSession.createDataFrame(rows, "addr string, size long, limit long")))
 
     return hosts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
