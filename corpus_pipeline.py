@@ -18,15 +18,27 @@ from tidelog.llm.packing import pack
 from tidelog.llm.quality import judge, train
 
 
+def plainly_named(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of names that no operator uses, and those names by the old ones."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def as_before(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    return docs.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the counts and the line labeller keep."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(docs, model).where("kept").select(*docs.columns)
+    named, names = plainly_named(docs)
+    return as_before(judge(named, model, names["text"]).where("kept"), names)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup(docs, carry=True).where("kept").select(*docs.columns)
+    named, names = plainly_named(docs)
+    return as_before(exact_dedup(named, names["doc_id"], names["text"], carry=True).where("kept"), names)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +50,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target sizes: documents repeated, left out or, one in a source, cut."""
-    return mixed_rows(docs)
+    named, names = plainly_named(docs)
+    return as_before(mixed_rows(named, names["doc_id"], names["text"], names["source"]), names)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

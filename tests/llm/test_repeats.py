@@ -166,6 +166,8 @@ def test_pipeline(spark, tmp_path):
     rows += [(200 + i, rows[10 + i][1][:-1] + " extra.", "en", "s2", 0) for i in range(5)]
     rows += [(300 + i, "\n".join(" | ".join(words(9)) for _ in range(3)), "en", "s3", 0) for i in range(30)] + [(400, "too short", "en", "s1", 0), (401, None, None, None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("kept", "keep_id", "size", "_size", "_id", "class_id", "n_words", "target", "start"):  # names that operators use
+        docs = docs.withColumn(name, F.lit("own"))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(0, 60, 2)] + [(300 + i, 0, 0) for i in range(0, 30, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [f for _, f in p.STAGES] == [p.quality_rules, p.without_copies, p.without_near_copies, p.mixed, p.packed]
@@ -173,7 +175,7 @@ def test_pipeline(spark, tmp_path):
     for i, (_, stage) in enumerate(p.STAGES[:-1]):
         stage(spark, at, str(tmp_path)).write.parquet(str(tmp_path / f"stage{i}"))
         at = spark.read.parquet(str(tmp_path / f"stage{i}"))
-        assert at.columns == docs.columns
+        assert at.columns == docs.columns and at.where("kept <> 'own' or _size <> 'own' or n_words <> 'own' or _id <> 'own'").count() == 0
         seen.append({r["doc_id"] for r in at.collect()})
     assert seen[0] == {*range(60), *range(100, 105), *range(200, 205)}
     assert seen[1] == {*range(5, 60), *range(100, 105), *range(200, 205)}  # more blanks: the copy is longer
