@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ DEPTH = 6
 RECALL = 0.9995
 #: Texts in a block of a large bucket, and n-grams in a block of a large component.
 BLOCK = 4096
-BLOCK_NGRAMS = 400_000
+BLOCK_NGRAMS = 100_000
 #: Share of equal signature values from which a pair is verified; at the threshold a pair falls below it by five standard deviations.
 LIKELY = 0.75
 _CHUNK = 1 << 16
@@ -174,9 +175,11 @@ def verify(texts: list[str], blocks: list[int], lo: int, hi: int, weights: list[
     """
     number: dict[tuple[bytes, ...], int] = {}
     sets = [np.array([number.setdefault(g, len(number)) for g in ngrams(t.encode().split(), window)], np.int64) for t in texts]
-    sizes = np.array([s.size for s in sets], float)
+    sizes = np.array([s.size for s in sets], np.int64)
     shared = _shared_counts(sets, len(number)) if len(sets) > 1 else np.zeros((len(sets), len(sets)), np.float32)
-    near = shared * (1 + similarity) >= similarity * (sizes[:, None] + sizes[None, :]) - 1e-6
+    # shared / (sum of sizes - shared) >= similarity, in integers
+    limit = Fraction(similarity).limit_denominator(10**6)
+    near = shared.astype(np.int64) * (limit.numerator + limit.denominator) >= limit.numerator * (sizes[:, None] + sizes[None, :])
     np.fill_diagonal(near, False)
     if lo != hi:
         side = np.array(blocks) == lo
