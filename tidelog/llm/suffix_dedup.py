@@ -33,6 +33,8 @@ from tidelog.llm.shingles import mix, prefix_sums
 
 LENGTH = 400
 GRAM = 100
+#: Anchors that start at more places than this are not sorted in one task.
+MOST_PLACES = 500_000
 _SEGMENT = 1 << 20
 _PLACE_BITS = 24
 
@@ -121,21 +123,18 @@ class RangeMin:
         return out
 
 
-def repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """How far each occurrence of one gram is part of a repeat, to the left and to the right; 0, 0 where it is not.
+def repeats(contexts: dict[tuple[bytes, bytes], int], length: int = LENGTH) -> dict[tuple[bytes, bytes], tuple[int, int]]:
+    """How far the occurrences of one gram are part of a repeat, to the left and to the right.
 
-    ``lefts`` are read away from the anchor; ``rights`` begin with the gram.
+    ``contexts``: (left, right) of the occurrences, and how many have it; left
+    is read away from the anchor, right begins with the gram.  Contexts that
+    are part of no repeat are left out.
     """
-    n = len(lefts)
-    left, right = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    by_context: dict[tuple[bytes, bytes], list[int]] = {}
-    for i, context in enumerate(zip(lefts, rights, strict=True)):
-        by_context.setdefault(context, []).append(i)
-    kinds = sorted(by_context, key=lambda c: (c[1], c[0]))
+    kinds = sorted(contexts, key=lambda c: (c[1], c[0]))
     m = len(kinds)
     best_left, best_right = np.zeros(m, np.int64), np.zeros(m, np.int64)
     for i, (a, b) in enumerate(kinds):
-        if len(by_context[a, b]) > 1 and len(a) + len(b) >= length:
+        if contexts[a, b] > 1 and len(a) + len(b) >= length:
             best_left[i], best_right[i] = len(a), len(b)
     if m > 1:
         shared = [common(kinds[i][1], kinds[i + 1][1]) for i in range(m - 1)]
@@ -159,12 +158,33 @@ def repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH) -> tu
                 who = np.array(order)[at[found]]
                 best_left[who] = np.maximum(best_left[who], extents[found])
                 best_right[who] = np.maximum(best_right[who], depth)
-    for i, context in enumerate(kinds):
-        left[by_context[context]], right[by_context[context]] = best_left[i], best_right[i]
-    return left, right
+    return {c: (int(x), int(y)) for c, x, y in zip(kinds, best_left, best_right, strict=True) if x + y >= length}
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def crowded_spans(around: DataFrame, length: int) -> DataFrame:
+    """a, b, start, stop around anchors with too many places for one task, without a tree.
+
+    Equal contexts are collapsed; of the rest, every string of ``length``
+    bytes around the anchor is counted by two hashes.  Sums are
+    pre-aggregated, so no group of rows ever meets in one task.  The first and
+    the last string that occurs twice bound the removed span.
+    """
+    named = around.withColumn("k1", F.xxhash64("hash", "left", "right")).withColumn("k2", F.xxhash64("right", "left", F.lit(1)))
+    places = named.select("hash", "k1", "k2", "a", "b", "at", "alone").distinct()
+    sizes = places.groupBy("hash", "k1", "k2").agg(F.count(F.lit(1)).alias("m"))
+    kinds = named.select("hash", "k1", "k2", "left", "right").distinct().join(sizes, ["hash", "k1", "k2"])
+    last = f"greatest(0, {length} - octet_length(right))"
+    strings = kinds.withColumn("o", F.explode(F.expr(f"sequence({last}, octet_length(left))"))).select(
+        "hash", "k1", "k2", "m", "o",
+        F.expr(f"xxhash64(substring(left, 1, o), substring(right, 1, {length} - o))").alias("w1"),
+        F.expr(f"xxhash64(1, substring(right, 1, {length} - o), substring(left, 1, o))").alias("w2"),
+    )
+    twice = strings.groupBy("hash", "o", "w1", "w2").agg(F.sum("m").alias("all")).where("all > 1").select("hash", "o", "w1", "w2")
+    reach = strings.join(twice, ["hash", "o", "w1", "w2"]).groupBy("hash", "k1", "k2").agg(F.max("o").alias("x"), (F.lit(length) - F.min("o")).alias("y"))
+    return places.where("alone").join(reach, ["hash", "k1", "k2"]).select("a", "b", (F.col("at") - F.col("x")).alias("start"), (F.col("at") + F.col("y")).alias("stop"))
+
+
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most_places: int = MOST_PLACES) -> tuple[DataFrame, DataFrame]:
     """Rows (id, text, a, b, n_bytes, sha256) of ``docs``, and for texts with repeats: a, b, copies, text (null if it has copies), spans."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     sha = F.sha2(text, 256)
@@ -188,10 +208,11 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     long_enough = base.where(F.col("n_bytes") >= length)
     marks = staged(long_enough.select("a", "b", "text").mapInArrow(find, "hash long, a long, b long, at long"), "anchors")
     # copies have the same a, b and place: they are one occurrence
-    several = marks.groupBy("hash").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("a", "b", "at") for f in (F.min, F.max)])
-    several = several.where("a_min < a_max or b_min < b_max or at_min < at_max").select("hash")
+    several = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("a", "b", "at") for f in (F.min, F.max)])
+    several = several.where("a_min < a_max or b_min < b_max or at_min < at_max")
+    several = staged(several.select("hash", (F.col("m") > most_places).alias("crowded")), "repeated-grams")
     repeated = marks.join(several, "hash").distinct()
-    lists = repeated.groupBy("a", "b").agg(F.collect_list(F.struct("hash", "at")).alias("marks"))
+    lists = repeated.groupBy("a", "b").agg(F.collect_list(F.struct("hash", "at", "crowded")).alias("marks"))
     classes = long_enough.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"))
     wanted = lists.join(classes, ["a", "b"])
     # one text of each class; with the id in the key, copies are dealt out evenly
@@ -207,9 +228,9 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         size = 0
 
         def take() -> pa.RecordBatch:
-            h, a, b, at, left, right, alone = zip(*out, strict=True) if out else ((),) * 7
-            arrays = [pa.array(x, pa.int64()) for x in (h, a, b, at)] + [pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(alone, pa.bool_())]
-            return pa.RecordBatch.from_arrays(arrays, names=["hash", "a", "b", "at", "left", "right", "alone"])
+            h, a, b, at, left, right, alone, crowded = zip(*out, strict=True) if out else ((),) * 8
+            arrays = [pa.array(x, pa.int64()) for x in (h, a, b, at)] + [pa.array(x, pa.binary()) for x in (left, right)] + [pa.array(x, pa.bool_()) for x in (alone, crowded)]
+            return pa.RecordBatch.from_arrays(arrays, names=["hash", "a", "b", "at", "left", "right", "alone", "crowded"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -219,7 +240,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     at = mark["at"]
                     left, right = raw[max(0, at - reach) : at][::-1], raw[at : at + length]
                     if len(left) + len(right) >= length:
-                        out.append((mark["hash"], a, b, at, left, right, copies == 1))
+                        out.append((mark["hash"], a, b, at, left, right, copies == 1, mark["crowded"]))
                         size += len(left) + len(right)
                 if size > 4 << 20:
                     yield take()
@@ -228,41 +249,41 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         yield take()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        of: int | None = None
+        own: dict[tuple[bytes, bytes], set[tuple]] = {}
         found: list[tuple] = []
 
         def close() -> None:
-            own = {(r[1], r[2], r[3]): r for r in rows}  # a text whose id is repeated came twice
-            members = list(own.values())
-            if len(members) > 1 and any(r[6] for r in members):
-                left, right = repeats([r[4] for r in members], [r[5] for r in members], length)
-                for r, x, y in zip(members, left.tolist(), right.tolist(), strict=True):
-                    if r[6] and x + y >= length:
-                        found.append((r[1], r[2], r[3] - x, r[3] + y))
+            for context, (x, y) in repeats({c: len(v) for c, v in own.items()}, length).items():
+                found.extend((a, b, at - x, at + y) for a, b, at, alone in own[context] if alone)
+            own.clear()
 
         def take() -> pa.RecordBatch:
             cols = list(zip(*found, strict=True)) if found else [()] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "start", "stop"])
 
         for batch in batches:
-            for row in columns(batch, "hash", "a", "b", "at", "left", "right", "alone"):
-                if rows and rows[0][0] != row[0]:
+            for gram_hash, a, b, at, left, right, alone in columns(batch, "hash", "a", "b", "at", "left", "right", "alone"):
+                if gram_hash != of:
                     close()
-                    rows.clear()
-                rows.append(row)
-            if len(found) > 1 << 15:
-                yield take()
-                found.clear()
+                    of = gram_hash
+                # a set: a text whose id is repeated comes twice
+                own.setdefault((left, right), set()).add((a, b, at, alone))
+                if len(found) > 1 << 15:
+                    yield take()
+                    found.clear()
         close()
         yield take()
 
-    around = texts.mapInArrow(contexts, "hash long, a long, b long, at long, left binary, right binary, alone boolean")
-    spans = around.repartition("hash").sortWithinPartitions("hash").mapInArrow(scan, "a long, b long, start long, stop long")
+    around = texts.mapInArrow(contexts, "hash long, a long, b long, at long, left binary, right binary, alone boolean, crowded boolean")
+    spans = around.where("not crowded").repartition("hash").sortWithinPartitions("hash").mapInArrow(scan, "a long, b long, start long, stop long")
+    if not several.where("crowded").isEmpty():
+        spans = spans.unionByName(crowded_spans(around.where("crowded"), length))
     spans = spans.groupBy("a", "b").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return base, texts.where("copies = 1").select("a", "b", "text").join(spans, ["a", "b"])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, most_places: int = MOST_PLACES) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, stop) for every row of ``docs``.
 
     Removed is every byte covered by a string of ``length`` bytes that also
@@ -273,7 +294,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not 0 < gram <= length:
         raise ValueError("gram must be 1 to length")
-    base, repeated = removed_spans(docs, id_col, text_col, length, gram)
+    base, repeated = removed_spans(docs, id_col, text_col, length, gram, most_places)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
