@@ -38,7 +38,7 @@ from tidelog.llm.langid import GramCounts, held_out
 DEPTH = 5
 RARE = 1e-4
 GAIN = 2e-7
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _BITS, _END = 9, 257  # symbols: 0 before the start, byte + 1, end
 _MASK = (1 << _BITS) - 1
 _STEP = 256
@@ -99,12 +99,14 @@ class SuffixTree:
         every = np.unique(np.concatenate([levels[0][1], [_END]]).astype(np.int64)) if levels else np.array([_END])
         contexts = np.unique(np.concatenate([(c >> (_BITS * i)) & _MASK for k, (c, _, _) in enumerate(levels) for i in range(k)] or [np.zeros(0, np.int64)]))
         every = np.unique(np.concatenate([every, contexts]))
-        self.of = np.zeros(1 << _BITS, np.int64)  # class 0: start and symbols not seen in training
+        self.of = np.ones(1 << _BITS, np.int64)  # class 0: before the start; 1: symbols not seen in training
+        self.of[0] = 0
         named = every[every > 0]
-        self.of[named] = np.arange(1, named.size + 1)
-        width = named.size + 1
+        self.of[named] = np.arange(2, named.size + 2)
+        width = named.size + 2
         total = float(levels[0][2].sum()) if levels else 0.0
         base = np.full(width, 1 / 257)
+        base[0] = 0
         # distributions by (length, context), each smoothed towards the next shorter one
         dist: dict[tuple[int, int], np.ndarray] = {}
         kept: set[tuple[int, int]] = {(0, 0)}
@@ -141,10 +143,9 @@ class SuffixTree:
         self.kept, self.states = len(kept), len(ordered)
         self.logp = np.zeros((len(ordered), width + 1), np.float32)  # the last column, for what lies behind a text, costs nothing
         self.next = np.zeros((len(ordered), width + 1), np.int32)
-        values = [0, *named.tolist()]
         suffix = [0] * len(ordered)
         for i, (k, c) in enumerate(ordered):
-            self.logp[i, :width] = np.log10(dist[longest(k, c, kept)])
+            self.logp[i, :width] = np.log10(np.maximum(dist[longest(k, c, kept)], 1e-300))
             if k:
                 suffix[i] = number[longest(k - 1, c & ((1 << (_BITS * (k - 1))) - 1), number)]
             # as after the longest shorter state, where this one does not go on itself
@@ -159,7 +160,6 @@ class SuffixTree:
                 self.next[i] = self.next[suffix[i]]
             for s, to in children.get(x, []):
                 self.next[i, s] = to
-        del values
         self.width = width
         self.logp, self.next = self.logp.ravel(), self.next.ravel()
 
@@ -263,7 +263,7 @@ def score(docs: DataFrame, training: str, id_col: str = "doc_id", text_col: str
         own.update({w: c - own.get(w, 0) for w, c in more.items()})
         del more
         floor = math.log10((tokens + 1) * (kinds + 1)) if (tokens + 1) * (kinds + 1) > 0 else 0.0
-        log, held, size = math.log10, [], 0
+        held, size = [], 0
         scores: list[float] = []
         get = own.get
         for batch in left.to_batches():
@@ -281,7 +281,6 @@ def score(docs: DataFrame, training: str, id_col: str = "doc_id", text_col: str
                     held, size = [], 0
         if held:
             scores.extend(pst.score(held).tolist())
-        del log
         cols = list(zip(*out, strict=True)) if out else [()] * 4
         return pa.table(
             {
