@@ -35,6 +35,8 @@ LENGTH = 400
 GRAM = 100
 #: Anchors that start at more places than this are not sorted in one task.
 MOST_PLACES = 500_000
+#: A gram at more than one in so many of all places is joined by broadcast; there are fewer such grams than this.
+BUSY = 1000
 _SEGMENT = 1 << 20
 _PLACE_BITS = 24
 
@@ -210,8 +212,11 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # copies have the same a, b and place: they are one occurrence
     several = marks.groupBy("hash").agg(F.count(F.lit(1)).alias("m"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("a", "b", "at") for f in (F.min, F.max)])
     several = several.where("a_min < a_max or b_min < b_max or at_min < at_max")
-    several = staged(several.select("hash", (F.col("m") > most_places).alias("crowded")), "repeated-grams")
-    repeated = marks.join(several, "hash").distinct()
+    several = staged(several.select("hash", "m"), "repeated-grams")
+    often = F.col("m") * BUSY > marks.count()
+    busy = F.broadcast(several.where(often))
+    plain = marks.join(busy, "hash", "left_anti").join(several.where(~often), "hash")
+    repeated = marks.join(busy, "hash").unionByName(plain).withColumn("crowded", F.col("m") > most_places).drop("m").distinct()
     lists = repeated.groupBy("a", "b").agg(F.collect_list(F.struct("hash", "at", "crowded")).alias("marks"))
     classes = long_enough.groupBy("a", "b").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"))
     wanted = lists.join(classes, ["a", "b"])
@@ -277,7 +282,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     around = texts.mapInArrow(contexts, "hash long, a long, b long, at long, left binary, right binary, alone boolean, crowded boolean")
     spans = around.where("not crowded").repartition("hash").sortWithinPartitions("hash").mapInArrow(scan, "a long, b long, start long, stop long")
-    if not several.where("crowded").isEmpty():
+    if not several.where(F.col("m") > most_places).isEmpty():
         spans = spans.unionByName(crowded_spans(around.where("crowded"), length))
     spans = spans.groupBy("a", "b").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return base, texts.where("copies = 1").select("a", "b", "text").join(spans, ["a", "b"])
