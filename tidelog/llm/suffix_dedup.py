@@ -172,7 +172,7 @@ def crowded_spans(around: DataFrame, length: int) -> DataFrame:
     the last string that occurs twice bound the removed span.
     """
     named = around.withColumn("k1", F.xxhash64("hash", "left", "right")).withColumn("k2", F.xxhash64("right", "left", F.lit(1)))
-    places = named.select("hash", "k1", "k2", "a", "b", "at", "alone").distinct()
+    places = named.select("hash", "k1", "k2", "a", "b", F.explode("places").alias("at"), "alone").distinct()
     sizes = places.groupBy("hash", "k1", "k2").agg(F.count(F.lit(1)).alias("m"))
     kinds = named.select("hash", "k1", "k2", "left", "right").distinct().join(sizes, ["hash", "k1", "k2"])
     last = f"greatest(0, {length} - octet_length(right))"
@@ -229,13 +229,15 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reach = length - gram
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
+        # the places that one text has in one context, as in a periodic text, share a row
+        held: dict[tuple, list[int]] = {}
         size = 0
 
         def take() -> pa.RecordBatch:
-            h, a, b, at, left, right, alone, crowded = zip(*out, strict=True) if out else ((),) * 8
-            arrays = [pa.array(x, pa.int64()) for x in (h, a, b, at)] + [pa.array(x, pa.binary()) for x in (left, right)] + [pa.array(x, pa.bool_()) for x in (alone, crowded)]
-            return pa.RecordBatch.from_arrays(arrays, names=["hash", "a", "b", "at", "left", "right", "alone", "crowded"])
+            h, a, b, alone, crowded, left, right = zip(*held, strict=True) if held else ((),) * 7
+            arrays = [pa.array(x, pa.int64()) for x in (h, a, b)] + [pa.array(list(held.values()), pa.list_(pa.int64()))]
+            arrays += [pa.array(x, pa.binary()) for x in (left, right)] + [pa.array(x, pa.bool_()) for x in (alone, crowded)]
+            return pa.RecordBatch.from_arrays(arrays, names=["hash", "a", "b", "places", "left", "right", "alone", "crowded"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -245,12 +247,13 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     at = mark["at"]
                     left, right = raw[max(0, at - reach) : at][::-1], raw[at : at + length]
                     if len(left) + len(right) >= length:
-                        out.append((mark["hash"], a, b, at, left, right, copies == 1, mark["crowded"]))
-                        size += len(left) + len(right)
-                if size > 4 << 20:
-                    yield take()
-                    out.clear()
-                    size = 0
+                        places = held.setdefault((mark["hash"], a, b, copies == 1, mark["crowded"], left, right), [])
+                        size += 8 if places else len(left) + len(right)
+                        places.append(at)
+                    if size > 4 << 20:
+                        yield take()
+                        held.clear()
+                        size = 0
         yield take()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,19 +271,19 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "start", "stop"])
 
         for batch in batches:
-            for gram_hash, a, b, at, left, right, alone in columns(batch, "hash", "a", "b", "at", "left", "right", "alone"):
+            for gram_hash, a, b, places, left, right, alone in columns(batch, "hash", "a", "b", "places", "left", "right", "alone"):
                 if gram_hash != of:
                     close()
                     of = gram_hash
                 # a set: a text whose id is repeated comes twice
-                own.setdefault((left, right), set()).add((a, b, at, alone))
+                own.setdefault((left, right), set()).update((a, b, at, alone) for at in places)
                 if len(found) > 1 << 15:
                     yield take()
                     found.clear()
         close()
         yield take()
 
-    around = texts.mapInArrow(contexts, "hash long, a long, b long, at long, left binary, right binary, alone boolean, crowded boolean")
+    around = texts.mapInArrow(contexts, "hash long, a long, b long, places array<long>, left binary, right binary, alone boolean, crowded boolean")
     spans = around.where("not crowded").repartition("hash").sortWithinPartitions("hash").mapInArrow(scan, "a long, b long, start long, stop long")
     if not several.where(F.col("m") > most_places).isEmpty():
         spans = spans.unionByName(crowded_spans(around.where("crowded"), length))
