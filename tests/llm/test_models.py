@@ -144,6 +144,30 @@ def test_suffix_tree(spark):
     assert math.isclose(tree.score([long])[0], total, rel_tol=1e-5)
 
 
+def test_tree_in_branches(spark, docs):
+    """Scores by branches are those of the whole tree in memory, for any bounds."""
+    d = lm.train_rows(docs.where("doc_id is not null"))
+    texts = {r["doc_id"]: lm.symbols(lm.canonical(r["text"]), lm.DEPTH) for r in d.collect()}
+    total = sum(texts[r["doc_id"]].size - lm.DEPTH for r in d.where("_train").collect())
+    for least, nats in ((2, 0.0), (8, 1.0), (20, 12.0)):
+        tree = lm.train(d.where("_train"), rare=(least - 0.5) / total, gain=nats / total)
+        got = {r["doc_id"]: r["score"] for r in lm.score(d, "_train", block_bytes=3000, least=least, nats=nats).collect()}
+        want = dict(zip(texts, tree.score(list(texts.values())).tolist(), strict=True))
+        assert set(got) == set(want)
+        assert all(math.isclose(got[i], want[i], rel_tol=1e-4, abs_tol=1e-4) for i in want)
+
+
+def test_tree_grows_with_the_corpus(spark):
+    """What is learned from rare contexts stays, however much other text there is."""
+    rare = [(i, "qxjzk vwqxz", True) for i in range(20)]
+    other = [(1000 + i, sentence(random.Random(i), "xx", 500), True) for i in range(400)]
+    scores = []
+    for rows in (rare, rare + other):
+        d = spark.createDataFrame([*rows, (1, "qxjzk vwqxz", False)], "doc_id long, text string, _train boolean")
+        scores.append(lm.score(d, "_train").where("doc_id = 1").agg(F.max("score")).first()[0])
+    assert scores[1] > scores[0] - 5
+
+
 def plain_counts(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

@@ -4,16 +4,22 @@ The model reads a text as bytes: its words, A-Z in lower case, with one blank
 between words and an end symbol.  Training counts every symbol behind its
 last ``depth`` symbols over all training texts.  A context enters the tree
 
-* if it makes up at least ``rare`` of all training positions, so that there
-  are at most ``1 / rare`` contexts of any length, however large the corpus;
+* if it occurs at least ``LEAST`` times;
 * and if its next-symbol distribution diverges from that of the next shorter
-  context: count times Kullback-Leibler divergence of at least ``gain`` of
-  all positions (in nats), or a longer context does.
+  context: count times Kullback-Leibler divergence of at least ``NATS``, or a
+  longer context does.
 
-Distributions are smoothed towards the next shorter context (Witten-Bell).
-Closed under prefixes, the tree is an automaton: a table gives the longest
-suffix state after any state and symbol.  Scoring runs that table over many
-stretches of text at a time.
+Both bounds are absolute, so the tree grows with the corpus.  Distributions
+are smoothed towards the next shorter context (Witten-Bell).
+
+The tree is split by the last three symbols of a context into branches, which
+are dealt into buckets; what is shorter is bounded by the alphabet and is
+broadcast.  A symbol's probability depends on the ``depth`` symbols before it,
+so a block of texts asks every bucket for its different grams' probabilities.
+
+``SuffixTree`` holds a whole tree in memory.  Closed under prefixes, it is an
+automaton: a table gives the longest suffix state after any state and symbol.
+It is for corpora whose tree fits one machine; ``score`` does not use it.
 
 Beside the tree stands an add-one unigram model over words.  Its counts do
 not fit one machine, so they are not broadcast: texts are dealt into blocks,
@@ -24,11 +30,14 @@ texts do not already tell.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +47,8 @@ from tidelog.llm.langid import GramCounts, held_out
 DEPTH = 5
 RARE = 1e-4
 GAIN = 2e-7
+LEAST, NATS = 8, 1.0
+BUCKET_BYTES, MOST_BUCKETS = 1 << 16, 1024
 BLOCK_BYTES = 8 << 20
 _BITS, _END = 9, 257  # symbols: 0 before the start, byte + 1, end
 _MASK = (1 << _BITS) - 1
@@ -66,12 +77,7 @@ def count_contexts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
         counts, held, size = GramCounts(), [], 0
 
         def flush() -> None:
-            s = np.concatenate(held).astype(np.int64)
-            n = s.size - depth
-            packed = np.zeros(n, np.int64)
-            for i in range(depth + 1):
-                packed = (packed << _BITS) | s[i : i + n]
-            counts.add(packed[s[depth:] > 0])  # what crosses into the next text ends in a start symbol
+            counts.add(_packed(held, depth))
 
         for batch in batches:
             for (text,) in columns(batch, "text"):
@@ -90,6 +96,166 @@ def count_contexts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return rows.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+def _packed(held: list[np.ndarray], depth: int) -> np.ndarray:
+    """Every symbol of texts given as ``symbols`` behind its ``depth`` predecessors, in order."""
+    s = np.concatenate(held).astype(np.int64)
+    n = s.size - depth
+    packed = np.zeros(n, np.int64)
+    for i in range(depth + 1):
+        packed = (packed << _BITS) | s[i : i + n]
+    return packed[s[depth:] > 0]  # what crosses into the next text ends in a start symbol
+
+
+def _low(k: int) -> int:
+    return (1 << (_BITS * k)) - 1
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and whether they hold what is wanted."""
+    if not keys.size:
+        return np.zeros(wanted.size, np.int64), np.zeros(wanted.size, bool)
+    at = np.minimum(np.searchsorted(keys, wanted), keys.size - 1)
+    return at, keys[at] == wanted
+
+
+class Level:
+    """All contexts of k symbols, with what follows them, in one part of the tree."""
+
+    def __init__(self, k: int, grams: np.ndarray, n: np.ndarray, up: np.ndarray, least: float, nats: float):
+        """grams: sorted, with counts n; up: their symbols' probabilities after the next shorter context."""
+        self.k, self.grams, self.n = k, grams, n
+        self.contexts, first, self.kinds = np.unique(grams >> _BITS, return_index=True, return_counts=True)
+        owner = np.repeat(np.arange(self.contexts.size), self.kinds)
+        self.total = np.add.reduceat(n, first) if n.size else n
+        self.p = (n + self.kinds[owner] * up) / (self.total + self.kinds)[owner]
+        gain = np.bincount(owner, weights=n * np.log(self.p / up), minlength=self.contexts.size)
+        self.kept = (self.total >= least) & ((gain >= nats) | (k == 0))
+
+
+def _levels(grams: np.ndarray, n: np.ndarray, first: int, depth: int, up, least: float, nats: float) -> list[Level]:
+    """Levels ``first`` to ``depth`` from the grams of ``depth`` symbols before one; up: probabilities below ``first``."""
+    by_k = {depth: (grams, n.astype(np.float64))}
+    for k in range(depth - 1, first - 1, -1):
+        longer, m = by_k[k + 1]
+        keys, at = np.unique(longer & _low(k + 1), return_inverse=True)
+        by_k[k] = keys, np.bincount(at, weights=m, minlength=keys.size)
+    levels: list[Level] = []
+    for k in range(first, depth + 1):
+        keys, m = by_k[k]
+        below = levels[-1].p[np.searchsorted(levels[-1].grams, keys & _low(k))] if levels else up(keys)
+        levels.append(Level(k, keys, m, below, least, nats))
+    for longer, shorter in zip(levels[:0:-1], levels[-2::-1], strict=True):  # shorter contexts of what is kept
+        _keep(shorter, longer.contexts[longer.kept] & _low(shorter.k))
+    return levels
+
+
+def _keep(level: Level, contexts: np.ndarray) -> None:
+    at, hit = _find(level.contexts, contexts)
+    level.kept[at[hit]] = True
+
+
+def _chances(levels: list[Level], grams: np.ndarray, p: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities after the longest kept context; alive: where all shorter ones are kept."""
+    for level in levels:
+        own = grams & _low(level.k + 1)
+        at, hit = _find(level.contexts, own >> _BITS)
+        alive = alive & hit
+        if alive.any():
+            alive[alive] = level.kept[at[alive]]
+            at, own = at[alive], own[alive]
+            spot, seen = _find(level.grams, own)
+            n = np.where(seen, level.n[spot], 0.0)
+            p = p.copy()
+            p[alive] = (n + level.kinds[at] * p[alive]) / (level.total[at] + level.kinds[at])
+    return p, alive
+
+
+class Crown:
+    """The contexts of fewer than ``split`` symbols; their number is bounded by the alphabet."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, split: int, least: float, nats: float):
+        order = np.argsort(grams)
+        self.levels = _levels(grams[order], n[order], 0, split - 1, lambda g: np.full(g.size, 1 / 257), least, nats)
+
+    def up(self, grams: np.ndarray) -> np.ndarray:
+        """Of grams seen in training: probabilities after the longest context here, kept or not."""
+        top = self.levels[-1]
+        return top.p[np.searchsorted(top.grams, grams & _low(top.k + 1))]
+
+    def keep(self, contexts: np.ndarray) -> None:
+        """Longer contexts of these are kept."""
+        _keep(self.levels[-1], contexts)
+        for longer, shorter in zip(self.levels[:0:-1], self.levels[-2::-1], strict=True):
+            _keep(shorter, longer.contexts[longer.kept] & _low(shorter.k))
+
+    def chances(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _chances(self.levels, grams, np.full(grams.size, 1 / 257), np.ones(grams.size, bool))
+
+
+def _bucket(grams: np.ndarray, split: int, buckets: int) -> np.ndarray:
+    """By the last ``split`` symbols of the context."""
+    mixed = ((grams >> _BITS) & _low(split)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _by_bucket(grams: np.ndarray, split: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams in order of their bucket, the buckets, and where each begins."""
+    of = _bucket(grams, split, buckets)
+    order = np.lexsort((grams, of))
+    found, first = np.unique(of[order], return_index=True)
+    return grams[order], found, first
+
+
+def _pack(grams: np.ndarray) -> bytes:
+    """Sorted grams: differences, byte by byte of their places, compressed."""
+    return zlib.compress(np.ascontiguousarray(np.diff(grams, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<i8").ravel())
+
+
+def _branch(part: pa.Table, split: int, depth: int, crown: Crown, least: float, nats: float) -> list[Level]:
+    grams, n = part.column("gram").to_numpy(), part.column("n").to_numpy()
+    order = np.argsort(grams)
+    return _levels(grams[order], n[order], split, depth, crown.up, least, nats)
+
+
+def grow(texts: DataFrame, asks: DataFrame, buckets: int, depth: int = DEPTH, least: float = LEAST, nats: float = NATS) -> DataFrame:
+    """block, bucket, grams -> block, bucket, chances: log10 probabilities (32-bit floats) from the tree of all rows of ``text``."""
+    session, split = texts.sparkSession, min(3, depth)
+    grams = staged(count_contexts(texts, depth), "lm-grams")
+    short = grams.groupBy(F.col("gram").bitwiseAND(_low(split)).alias("gram")).agg(F.sum("n").alias("n")).toPandas()  # bounded by the alphabet
+    crown = Crown(short["gram"].to_numpy(np.int64), short["n"].to_numpy(np.int64), split, least, nats)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = _bucket(b.column("gram").to_numpy(), split, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(of), b.column("gram"), b.column("n")], names=["bucket", "gram", "n"])
+
+    parts = grams.select("gram", "n").mapInArrow(place, "bucket long, gram long, n long").groupBy("bucket")
+    told = session.sparkContext.broadcast(crown)
+
+    def kept(part: pa.Table) -> pa.Table:
+        low = _branch(part, split, depth, told.value, least, nats)[0]
+        return pa.table({"context": pa.array(np.unique(low.contexts[low.kept] & _low(split - 1)))})
+
+    crown.keep(parts.applyInArrow(kept, "context long").distinct().toPandas()["context"].to_numpy(np.int64))
+    whole = session.sparkContext.broadcast(crown)
+
+    def answer(key, part: pa.Table, asked: pa.Table) -> pa.Table:
+        top = whole.value
+        levels = _branch(part, split, depth, top, least, nats)
+        out = []
+        for raw in asked.column("grams").to_pylist():
+            g = _unpack(raw)
+            p, _ = _chances(levels, g, *top.chances(g))
+            out.append(np.log10(p).astype("<f4").tobytes())
+        return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "chances": pa.array(out, pa.binary())})
+
+    return parts.cogroup(asks.groupBy("bucket")).applyInArrow(answer, "block long, bucket long, chances binary")
+
+
 class SuffixTree:
     """Automaton of the retained contexts with smoothed distributions."""
 
@@ -190,7 +356,7 @@ class SuffixTree:
 
 
 def train(texts: DataFrame, depth: int = DEPTH, rare: float = RARE, gain: float = GAIN) -> SuffixTree:
-    """A tree from all rows of ``text``; only contexts above ``rare`` come to the driver, at most ``1 / rare`` of a length."""
+    """A tree in memory from all rows of ``text``; bounds are shares of all positions, and contexts above ``rare`` come to the driver."""
     grams = staged(count_contexts(texts, depth), "lm-grams")
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     if not total:
@@ -214,7 +380,43 @@ def train(texts: DataFrame, depth: int = DEPTH, rare: float = RARE, gain: float
     return SuffixTree(levels, depth, gain)
 
 
-def score(docs: DataFrame, training: str, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+NAMES = ["block", "word", "n", "bucket", "grams"]
+
+
+class Grams:
+    """The different grams of texts given as ``symbols``."""
+
+    def __init__(self, depth: int):
+        self.depth, self.held, self.size, self.seen = depth, [], 0, np.zeros(0, np.int64)
+
+    def add(self, text: np.ndarray) -> None:
+        self.held.append(text)
+        self.size += text.size
+        if self.size > 1 << 20:
+            self.all()
+
+    def all(self) -> np.ndarray:
+        if self.held:
+            self.seen = pd.unique(np.concatenate([self.seen, pd.unique(_packed(self.held, self.depth))]))
+            self.held, self.size = [], 0
+        return self.seen
+
+
+class Chances:
+    """Scores texts by their grams' log10 probabilities."""
+
+    def __init__(self, grams: np.ndarray, logp: np.ndarray, depth: int):
+        if grams.size != logp.size:
+            raise ValueError(f"asked for {grams.size} grams, told of {logp.size}")
+        self.index, self.logp, self.depth = pd.Index(grams), logp.astype(np.float64), depth
+
+    def score(self, texts: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of each text, given as ``symbols``."""
+        each = self.logp[self.index.get_indexer(_packed(texts, self.depth))]
+        return np.add.reduceat(each, np.cumsum([0, *[t.size - self.depth for t in texts[:-1]]]))
+
+
+def score(docs: DataFrame, training: str, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, least: float = LEAST, nats: float = NATS) -> DataFrame:
     """Scores of all rows; ``training``: a boolean column, the rows to learn from.
 
     Returns id, n_tokens, n_known, train_tokens, base_score, score.  A null or
@@ -223,43 +425,62 @@ def score(docs: DataFrame, training: str, id_col: str = "doc_id", text_col: str
     nothing (N = V = 0) and the tree is uniform.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(training), F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    tree = train(rows.where("train"), depth)
-    blocks = max(1, math.ceil(text_bytes(rows, "text") / block_bytes))
+    size_all, split = text_bytes(rows, "text"), min(3, depth)
+    blocks = max(1, math.ceil(size_all / block_bytes))
+    buckets = max(1, min(MOST_BUCKETS, size_all // BUCKET_BYTES))
     # rows of one id may share a block; a hash of the text keeps repeated ids apart
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("long"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local: dict[int, tuple[Counter, Counter]] = {}
+        local: dict[int, tuple[Counter, Counter, Grams]] = {}
         for batch in batches:
             for block, learn, text in columns(batch, "block", "train", "text"):
-                seen = local.setdefault(block, (Counter(), Counter()))
-                seen[0 if learn else 1].update(canonical(text))
-        for block, (taught, other) in local.items():
+                seen = local.setdefault(block, (Counter(), Counter(), Grams(depth)))
+                w = canonical(text)
+                seen[0 if learn else 1].update(w)
+                seen[2].add(symbols(w, depth))
+        for block, (taught, other, grams) in local.items():
+            ordered, found, first = _by_bucket(grams.all(), split, buckets)
+            packed = [_pack(g) for g in np.split(ordered, first[1:])]
+            none = [None] * len(packed)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * len(packed), pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.int64()), pa.array(found), pa.array(packed, pa.binary())], names=NAMES
+            )
             items = [(w, n) for w, n in taught.items()] + [(w, 0) for w in other if w not in taught]
             for i in range(0, len(items), 1 << 16):
                 w, n = zip(*items[i : i + (1 << 16)], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(w), pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64())], names=["block", "word", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block] * len(w), pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(w), pa.int64()), pa.nulls(len(w), pa.binary())], names=NAMES
+                )
 
     by_block = dealt.repartition("block")
-    counts = by_block.select("block", "train", "text").mapInArrow(words, "block long, word binary, n long")
-    counts = staged(counts, "lm-words")
+    found = staged(by_block.select("block", "train", "text").mapInArrow(words, "block long, word binary, n long, bucket long, grams binary"), "lm-words")
+    counts = found.where("bucket is null").select("block", "word", "n")
+    answers = grow(rows.where("train"), found.where("bucket is not null").select("block", "bucket", "grams"), buckets, depth, least, nats)
     totals = counts.groupBy("word").agg(F.sum("n").alias("c"))
     facts = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("c") > 0, 1)).alias("kinds")).first()
     ends = rows.where("train").count()
     tokens, kinds = facts["tokens"] + ends, facts["kinds"] + (1 if ends else 0)
     whole = F.sum("n").over(Window.partitionBy("word"))
     asked = counts.withColumn("c", whole).where("c <> n").select("block", "word", "c")
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+    told = asked.withColumns({"bucket": F.lit(None).cast("long"), "chances": F.lit(None).cast("binary")})
+    told = told.unionByName(answers, allowMissingColumns=True)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        pst = shared.value
         out: list[tuple] = []
+        chances = right.filter(pc.is_valid(right.column("bucket"))).sort_by("bucket").column("chances").to_pylist()
+        right = right.filter(pc.is_null(right.column("bucket")))
         more = dict(zip(right.column("word").to_pylist(), right.column("c").to_pylist(), strict=True))
-        own: Counter = Counter()
+        own, grams = Counter(), Grams(depth)
         for batch in left.to_batches():
             for learn, text in columns(batch, "train", "text"):
+                w = canonical(text)
+                grams.add(symbols(w, depth))
                 if learn:
-                    own.update(canonical(text))
+                    own.update(w)
+        ordered, _, _ = _by_bucket(grams.all(), split, buckets)
+        tree = Chances(ordered, np.frombuffer(b"".join(chances), "<f4"), depth)
+        del chances, grams
         own.update({w: c - own.get(w, 0) for w, c in more.items()})
         del more
         floor = math.log10((tokens + 1) * (kinds + 1)) if (tokens + 1) * (kinds + 1) > 0 else 0.0
@@ -277,10 +498,10 @@ def score(docs: DataFrame, training: str, id_col: str = "doc_id", text_col: str
                 held.append(symbols(w, depth))
                 size += held[-1].size
                 if size > 1 << 20:
-                    scores.extend(pst.score(held).tolist())
+                    scores.extend(tree.score(held).tolist())
                     held, size = [], 0
         if held:
-            scores.extend(pst.score(held).tolist())
+            scores.extend(tree.score(held).tolist())
         cols = list(zip(*out, strict=True)) if out else [()] * 4
         return pa.table(
             {
@@ -293,7 +514,7 @@ def score(docs: DataFrame, training: str, id_col: str = "doc_id", text_col: str
         )
 
     kind = rows.schema["id"].dataType.simpleString()
-    scored = dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
+    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
