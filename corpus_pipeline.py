@@ -16,6 +16,7 @@ from tidelog.llm.mixing import mixed_rows
 from tidelog.llm.ngram_join import similar
 from tidelog.llm.packing import pack
 from tidelog.llm.quality import judge, train
+from tidelog.llm.tokens import added_tokens
 
 
 def plainly_named(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -56,7 +57,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens, a row per piece of a document."""
-    return pack(docs)
+    return pack(docs, added=added_tokens())
 
 
 STAGES = [

@@ -1,6 +1,7 @@
 """Packing and token counts: exact round trips against the tokenizer itself."""
 
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelog.llm.packing import SumOfSquares, pack
+from tidelog.llm.queries import op1_packing
 from tidelog.llm.token_counts import CountTree, count_with_edits, pre_tokens, revision
 from tidelog.llm.tokens import encoder, vocabulary_path
 
@@ -35,6 +37,19 @@ def test_ids(reference):
         assert np.frombuffer(tool.encode(t), "<u4").tolist() == reference(t)
 
 
+def test_added_tokens(spark, tmp_path):
+    """The registered query's ids are those of the tokenizer as it comes."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(9)
+    texts = ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>", "a<|endoftext|", *("".join(rng.choice([*PARTS, "<|endoftext|>"]) for _ in range(rng.randint(0, 120))) for _ in range(60))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in op1_packing(spark, str(tmp_path)).where("start = 0 and length = doc_tokens").collect()}
+    assert len(got) > 50
+    for i, r in got.items():
+        ids = [*t.encode(texts[i], add_special_tokens=False).ids, 1]
+        assert (r["doc_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_level_choice():
     """The level that makes the sum of squares smallest, by trying all."""
     rng, packer, size = random.Random(2), SumOfSquares(16), 16

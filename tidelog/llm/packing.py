@@ -92,9 +92,13 @@ def pack(
     end_id: int = END_ID,
     tokenizer: str | None = None,
     most_open: int = MOST_OPEN,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pack all documents; one row per piece, with its ids as little-endian 32-bit integers.
 
+    ``added``: tokens, with their ids, that are found in a text before it is
+    encoded; without them their strings are ordinary text.
+
     A null or empty text is ``end_id`` alone.  Pieces of a sequence lie gapless
     from offset 0.  Null ids stay null; repeated rows are packed each; other
     columns are ignored; an empty table gives no rows.  ``sequence_id`` holds
@@ -107,7 +111,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
+        tool, end = encoder(path), np.array([end_id], "<u4").tobytes()
         next_id = TaskContext.get().partitionId() << 40
         packer, out = SumOfSquares(size), Emitter(ARROW)
 
@@ -121,7 +125,7 @@ def pack(
 
         for batch in batches:
             for doc, text in columns(batch, "_id", "_text"):
-                ids = encode(text or "") + end
+                ids = tool.encode_added(text or "", added or {}) + end
                 total = len(ids) // 4
                 whole = total - total % size
                 for start in range(0, whole, size):

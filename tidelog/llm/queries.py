@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm import exact_dedup, langid, lm, mixing, ngram_join, packing, quality, suffix_dedup, token_counts, warc
 from tidelog.llm.common import new_path
+from tidelog.llm.tokens import added_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), added=added_tokens())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

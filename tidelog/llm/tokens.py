@@ -9,6 +9,8 @@ in a cache of bounded size; those not seen yet are encoded in one call.
 from __future__ import annotations
 
 import base64
+import json
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -25,6 +27,17 @@ def vocabulary_path(name: str = NAMED) -> str:
     return public_tokenizers.path(f"{name}.tiktoken")
 
 
+def added_tokens(name: str = NAMED) -> dict[str, int]:
+    """Tokens that the tokenizer file adds to its vocabulary, found in any text before it is cut."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(f"{name}.json"), encoding="utf-8") as file:
+        found = json.load(file)["added_tokens"]
+    if any(t[flag] for t in found for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{name}: added tokens that are not matched literally")
+    return {t["content"]: t["id"] for t in found}
+
+
 class PieceEncoder:
     """Little-endian 32-bit ids of texts and of pre-tokens, for one vocabulary."""
 
@@ -78,6 +91,13 @@ class PieceEncoder:
             found = [cache.get(p) if f is None else f for p, f in zip(pieces, found, strict=True)]
         return b"".join(chain((self.plain(head),), found))
 
+    def encode_added(self, text: str, added: dict[str, int]) -> bytes:
+        """Ids of a text in which added tokens stand for themselves; what is between them is encoded on its own."""
+        if not any(map(text.__contains__, added)):
+            return self.encode(text)
+        parts = re.split("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")", text)
+        return b"".join(np.array([added[p]], "<u4").tobytes() if i % 2 else self.encode(p) for i, p in enumerate(parts))
+
     def plain(self, text: str) -> bytes:
         return np.array(self.encoding.encode_ordinary(text), "<u4").tobytes() if text else b""
 
