@@ -507,7 +507,21 @@ def _through(spark: SparkSession, rows: DataFrame, files: int, order: str, trans
 )
 def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two days that arrive out of order, over several micro-batches."""
-    log = event_log(spark, sf_dir).where(F.col("ts") < START + 2 * DAY)
+    return _late_dropped(spark, event_log(spark, sf_dir).where(F.col("ts") < START + 2 * DAY))
+
+
+@register(
+    "stream_late_drop_whole",
+    f"""WITH {_LOG},
+    m AS (SELECT *, max(ts) OVER (PARTITION BY source, {_HOUR} ORDER BY (seq * 7919) % 10007, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bound FROM log)
+    SELECT ts, severity, source, message, (seq * 7919) % 10007 * 1000000 + seq AS seq FROM m WHERE ts >= greatest(coalesce(bound, 0), 0)""",
+)
+def stream_late_drop_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the whole table."""
+    return _late_dropped(spark, event_log(spark, sf_dir))
+
+
+def _late_dropped(spark: SparkSession, log: DataFrame) -> DataFrame:
     mixed = log.select("ts", "severity", "source", "message", (F.col("seq") * 7919 % 10007 * 1_000_000 + F.col("seq")).alias("seq"))
     return _through(spark, mixed, 3, "seq", ingest.drop_late)
 
@@ -515,7 +529,16 @@ def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("stream_dedup", f"WITH {_LOG} SELECT DISTINCT ts, severity, source, message FROM log WHERE ts < {START + 3 * DAY}")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry delivered twice."""
-    log = entries(spark, sf_dir).where(F.col("ts") < START + 3 * DAY)
+    return _delivered_once(spark, entries(spark, sf_dir).where(F.col("ts") < START + 3 * DAY))
+
+
+@register("stream_dedup_whole", f"WITH {_LOG} SELECT DISTINCT ts, severity, source, message FROM log")
+def stream_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the whole table."""
+    return _delivered_once(spark, entries(spark, sf_dir))
+
+
+def _delivered_once(spark: SparkSession, log: DataFrame) -> DataFrame:
     return _through(spark, log.unionByName(log), 2, "ts", lambda s: ingest.drop_repeated(s, "30 days"))
 
 
@@ -531,9 +554,19 @@ def stream_latest_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_ingest", f"WITH {_LOG} SELECT ts, severity, source, message FROM log WHERE ts < {START + DAY}")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of files appended to a store, then read from it."""
+    """A stream of files of one day appended to a store, then read from it."""
+    return _ingested(spark, entries(spark, sf_dir).where(F.col("ts") < START + DAY))
+
+
+@register("stream_ingest_whole", f"WITH {_LOG} SELECT ts, severity, source, message FROM log")
+def stream_ingest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the whole table."""
+    return _ingested(spark, entries(spark, sf_dir))
+
+
+def _ingested(spark: SparkSession, log: DataFrame) -> DataFrame:
     base = work_dir(spark)
-    entries(spark, sf_dir).where(F.col("ts") < START + DAY).repartition(2).write.json(f"{base}/in")
+    log.repartition(2).write.json(f"{base}/in")
     store = LogStore(spark, f"{base}/store")
     ingest.ingest(ingest.entry_stream(spark, f"{base}/in"), store, f"{base}/state").awaitTermination()
     return store.table().select("ts", "severity", "source", "message")
@@ -545,6 +578,15 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source, hour_start, count(*) AS entries FROM d, w WHERE hour_start + 3600000000000 <= t GROUP BY ALL""",
 )
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling hours that the watermark has passed."""
-    log = entries(spark, sf_dir).where(F.col("ts") < START + 3 * DAY)
-    return _through(spark, log, 2, "ts", ingest.hourly)
+    """Tumbling hours that the watermark has passed, over three days."""
+    return _through(spark, entries(spark, sf_dir).where(F.col("ts") < START + 3 * DAY), 2, "ts", ingest.hourly)
+
+
+@register(
+    "stream_hourly_whole",
+    f"""WITH {_LOG}, d AS (SELECT *, {_HOUR} AS hour_start FROM log), w AS (SELECT max(ts) AS t FROM d)
+    SELECT source, hour_start, count(*) AS entries FROM d, w WHERE hour_start + 3600000000000 <= t GROUP BY ALL""",
+)
+def stream_hourly_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the whole table."""
+    return _through(spark, entries(spark, sf_dir), 2, "ts", ingest.hourly)
