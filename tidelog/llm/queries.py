@@ -45,7 +45,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     found = warc.read_archives(spark, path).where("gap_reason is null")
-    page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]+)$", 1).cast("long")
+    page = lambda c: F.regexp_extract(c, "^urn:page:(-?[0-9]*)[.]", 1).try_cast("long")
     return found.select(
         page("record_id").alias("page_id"),
         "payload_bytes",

@@ -10,7 +10,9 @@ not compressed.
 the header lines, the block length, the blank line behind the block and the
 block digest.  Where a check fails it searches for the next place that holds a
 valid member (or version line), goes on from there and logs the bytes between
-as quarantined.
+as quarantined.  It searches inside a member's content in the same way; of a
+member that is cut or fails its checksum it takes the records that come out
+whole and carry a block digest that holds.
 """
 
 from __future__ import annotations
@@ -26,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import Emitter, columns
+from tidelog.llm.common import Emitter, columns, staged
 
 ARCHIVE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
 _GZIP = b"\x1f\x8b\x08"
+_NEXT = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+_SLICE = 1 << 14
+_COPIES = 1024
+HEADER_BYTES = 1 << 20
 _EMPTY_MEMBER = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -60,19 +66,25 @@ def _header_value(text: str) -> str:
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", text)
 
 
-def record(record_id: str, payload: bytes, uri: str | None = None, refers_to: str | None = None, date: str = DATE) -> bytes:
-    """A resource as a response, or as a revisit of ``refers_to`` whose block is empty."""
+def record(
+    record_id: str, payload: bytes, uri: str | None = None, refers_to: str | None = None, date: str = DATE, known: tuple[str, int] | None = None
+) -> bytes:
+    """A resource as a response, or as a revisit of ``refers_to`` whose block is empty.
+
+    A revisit can do without the payload if its digest and size are ``known``.
+    """
     kind = "revisit" if refers_to else "response"
     block = b"" if refers_to else payload
+    sha, size = known or (digest(payload), len(payload))
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <{record_id}>",
         f"WARC-Date: {date}",
         *([f"WARC-Target-URI: {_header_value(uri)}"] if uri else []),
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{sha}",
         f"WARC-Block-Digest: sha1:{digest(block)}",
-        f"X-Payload-Length: {len(payload)}",
+        f"X-Payload-Length: {size}",
         *([f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: <{refers_to}>"] if refers_to else []),
         "Content-Type: text/html",
         f"Content-Length: {len(block)}",
@@ -80,17 +92,37 @@ def record(record_id: str, payload: bytes, uri: str | None = None, refers_to: st
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def with_originals(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = 0) -> DataFrame:
-    """``pages`` with ``_original``: of equal payloads of at least ``least`` bytes the smallest id, else null for the row that has it.
+def with_originals(pages: DataFrame, id_col: str = "page_id", url_col: str | None = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
+    """name, url, payload, sha1, size and, for rows that repeat another row's payload, that row's name as ``original``.
 
-    Equal means an equal SHA-256.  Rows of one payload may be a third of all:
-    the smallest id comes from a pre-aggregated minimum, and the join back is
-    a plain equi-join that the adaptive planner splits at a hot key.
+    Of equal payloads of at least ``least`` bytes, the row with the smallest id
+    (nulls last), then url (nulls first), is the original.  Equal means an
+    equal SHA-256.  A name is the id, a dot and a hash of payload, url and id;
+    rows that agree in all three are numbered behind the first of them, and of
+    ``least`` bytes or more they come without payload.
+
+    Payloads are shuffled once, by name, so that no payload's rows meet in one
+    task, be they a third of all; all else is done on rows without payloads.
     """
-    payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    keyed = pages.withColumn("_key", F.sha2(payload, 256))
-    first = keyed.where(F.octet_length(payload) >= least).groupBy("_key").agg(F.min(id_col).alias("_first"))
-    return keyed.join(first, "_key", "left").withColumn("_original", F.when(F.col("_first") != F.col(id_col), F.col("_first"))).drop("_key", "_first")
+    rows = pages.select(
+        F.col(f"`{id_col}`").alias("id"),
+        (F.col(f"`{url_col}`") if url_col else F.lit(None)).cast("string").alias("url"),
+        F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).alias("payload"),
+    )
+    mark = F.concat("sha", F.when(F.col("id").isNull(), "0").otherwise("1"), F.when(F.col("url").isNull(), "").otherwise(F.concat(F.lit("u"), "url")))
+    rows = rows.withColumn("sha", F.sha2("payload", 256))
+    rows = rows.withColumn("name", F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit("."), F.md5(mark)))
+    size = F.octet_length("payload").cast("long")
+    kinds = rows.groupBy("name", "sha", "id", "url", size.alias("size"), F.sha1("payload").alias("sha1"), F.when(size < least, F.col("payload")).alias("small"))
+    kinds = staged(kinds.agg(F.count(F.lit(1)).alias("n")), "warc-rows")
+    first = kinds.where(F.col("size") >= least).groupBy("sha").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url", "name"))["name"].alias("first"))
+    kinds = kinds.join(first, "sha", "left").drop("sha", "id")
+    whole = rows.groupBy("name").agg(F.first("payload").alias("payload")).join(kinds, "name")
+    whole = whole.select("name", "url", "payload", "sha1", "size", F.when(F.col("first") != F.col("name"), F.col("first")).alias("original"))
+    chunks = kinds.where("n > 1").withColumn("chunk", F.explode(F.expr(f"sequence(0L, (n - 1) div {_COPIES})"))).repartition("name", "chunk")
+    copies = chunks.withColumn("copy", F.explode(F.expr(f"sequence(chunk * {_COPIES}, least(n, (chunk + 1) * {_COPIES}) - 1)"))).where("copy > 0")
+    numbered = F.concat("name", F.lit("."), F.col("copy").cast("string"))
+    return whole.unionByName(copies.select(numbered.alias("name"), "url", F.col("small").alias("payload"), "sha1", "size", F.col("first").alias("original")))
 
 
 def write_archives(
@@ -104,25 +136,23 @@ def write_archives(
     archive_bytes: int = ARCHIVE_BYTES,
     compress: bool = True,
 ) -> None:
-    """Write a record per row; record ids are ``prefix`` and the row's id.
-
-    A null payload is empty, a null url is left out.  Rows with a null id are
-    an error.  An archive ends once it holds ``archive_bytes``.
+    """Write a record per row; record ids are ``prefix`` and the row's name.
+
+    Names keep records apart where ids are repeated or null (see
+    ``with_originals``; a null id is written as nothing).  A null payload is
+    empty, a null url is left out.  Repeated rows are records of their own: one
+    is the response, the others revisit it.  An empty table gives archives without records.  Other columns
+    are ignored, whatever their names.  An archive ends once it holds
+    ``archive_bytes``.
     """
-    rows = with_originals(pages, id_col, payload_col, least).select(
-        F.col(id_col).cast("string").alias("id"),
-        (F.col(url_col) if url_col else F.lit(None)).cast("string").alias("url"),
-        F.col(payload_col).cast("string").alias("payload"),
-        F.col("_original").cast("string").alias("original"),
-    )
+    rows = with_originals(pages, id_col, url_col, payload_col, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for ident, url, payload, original in columns(batch, "id", "url", "payload", "original"):
-                if ident is None:
-                    raise ValueError(f"{id_col} is null")
-                raw = record(prefix + ident, (payload or "").encode(), url, prefix + original if original else None)
+            for name, url, payload, sha, n, original in columns(batch, "name", "url", "payload", "sha1", "size", "original"):
+                known = base64.b32encode(bytes.fromhex(sha)).decode(), n
+                raw = record(prefix + name, (payload or "").encode(), url, prefix + original if original else None, known=known)
                 if compress:
                     raw = zlib.compress(raw, 6, 31)
                 held.append(raw)
@@ -143,6 +173,12 @@ def write_archives(
 
 @dataclass
 class Found:
+    """A record, or a gap (without ``head``) with the bytes that were left out.
+
+    ``start`` and ``length`` are places in the archive.  What shares a member
+    with an earlier record or gap has the member's start and length 0.
+    """
+
     start: int
     length: int
     head: dict[str, str] | None
@@ -154,11 +190,11 @@ class Damaged(Exception):
     """A check failed."""
 
 
-def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """Header fields (names in lower case), block and end of the record at ``at``."""
+def parse(raw: bytes, at: int = 0, proven: bool = False) -> tuple[dict[str, str], bytes, int]:
+    """Header fields (names in lower case), block and end of the record at ``at``; ``proven``: only with a block digest."""
     if not _VERSION.match(raw, at):
         raise Damaged("version line")
-    end = raw.find(b"\r\n\r\n", at)
+    end = raw.find(b"\r\n\r\n", at, at + HEADER_BYTES)
     if end < 0:
         raise Damaged("header without end")
     head: dict[str, str] = {}
@@ -178,49 +214,85 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     if raw[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("block length")
     block = raw[end + 4 : stop]
-    if (named := head.get("warc-block-digest", "")).startswith("sha1:") and named[5:] != digest(block):
+    named = head.get("warc-block-digest", "")
+    if (proven or named.startswith("sha1:")) and named[5:] != digest(block):
         raise Damaged("block digest")
     return head, block, stop + 4
 
 
-def _member(raw: bytes, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at ``at`` and its end; the checksum holds."""
-    reader = zlib.decompressobj(31)
-    try:
-        content = reader.decompress(memoryview(raw)[at:])
-    except zlib.error as e:
-        raise Damaged("gzip data") from e
-    if not reader.eof:
-        raise Damaged("gzip member without end")
-    return content, len(raw) - len(reader.unused_data)
+def _member(raw: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """Content and end of the gzip member at ``at``, and what is wrong with it; then the content is what could be read.
+
+    The archive is fed slice by slice, so that a member costs its own size.
+    """
+    reader, view, parts, end = zlib.decompressobj(31), memoryview(raw), [], at
+    while not reader.eof:
+        if end == len(raw):
+            return b"".join(parts), end, "gzip member without end"
+        part = view[end : end + _SLICE]
+        end += len(part)
+        try:
+            parts.append(reader.decompress(part))
+        except zlib.error:
+            return b"".join(parts), end, "gzip data"
+    return b"".join(parts), end - len(reader.unused_data), None
+
+
+def _inside(content: bytes, proven: bool) -> Iterator[tuple[dict[str, str] | None, bytes, str | None]]:
+    """Records and gaps of a member's content: header, block or bytes, reason."""
+    at, gap, reason = 0, None, None
+    while at < len(content):
+        try:
+            head, block, end = parse(content, at, proven)
+        except Damaged as e:
+            if gap is None:
+                gap, reason = at, str(e)
+            at = content.find(b"WARC/1.", at + 1)
+            at = len(content) if at < 0 else at
+            continue
+        if gap is not None:
+            yield None, content[gap:at], reason
+            gap = None
+        yield head, block, None
+        at = end
+    if gap is not None:
+        yield None, content[gap:], reason
 
 
 def salvage(raw: bytes) -> Iterator[Found]:
-    """Records and gaps of an archive, in order; their bytes add up to the archive."""
+    """Records and gaps of an archive; their bytes add up to the archive.
+
+    They come in order, but for records out of a broken member, which come
+    before the gap that holds its bytes.
+    """
     at, gap, reason = 0, None, ""
     while at < len(raw):
-        try:
-            if raw.startswith(_GZIP, at):
-                content, end = _member(raw, at)
-                inside, records = 0, []
-                while inside < len(content):
-                    head, block, inside = parse(content, inside)
-                    records.append((head, block))
-            else:
+        if raw.startswith(_GZIP, at):
+            content, end, wrong = _member(raw, at)
+            found = [x for x in _inside(content, wrong is not None) if wrong is None or x[0]]
+        else:
+            wrong, found, end = None, [], at
+            try:
                 head, block, end = parse(raw, at)
-                records = [(head, block)]
-        except Damaged as e:
+                found = [(head, block, None)]
+            except Damaged as e:
+                wrong = str(e)
+        if wrong is None and found and not any(head for head, _, _ in found):
+            wrong = found[0][2]  # a member without any record, as a chance match of its first bytes
+            found = []
+        if wrong is not None:
+            for head, block, _ in found:
+                yield Found(at, 0, head, block)
             if gap is None:
-                gap, reason = at, str(e)
-            # on to the next place that may hold a member or a version line
-            spots = [x for x in (raw.find(_GZIP, at + 1), raw.find(b"WARC/1.", at + 1)) if x > 0]
-            at = min(spots, default=len(raw))
+                gap, reason = at, wrong
+            spot = _NEXT.search(raw, at + 1)  # the next place that may hold a member or a version line
+            at = spot.start() if spot else len(raw)
             continue
         if gap is not None:
             yield Found(gap, at - gap, None, raw[gap:at], reason)
             gap = None
-        for i, (head, block) in enumerate(records):
-            yield Found(at, (end - at) if i == 0 else 0, head, block)
+        for i, (head, block, inner) in enumerate(found):
+            yield Found(at, (end - at) if i == 0 else 0, head, block, inner)
         at = end
     if gap is not None:
         yield Found(gap, len(raw) - gap, None, raw[gap:], reason)
