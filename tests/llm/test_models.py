@@ -102,13 +102,13 @@ def plain_base(rows, train):
     out = {}
     for i, t in rows:
         w = [*(t or "").encode().lower().split(), None]
-        out[i] = (len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 1) / ((n + 1) * (v + 1))) for x in w))
+        out[i] = (len(w), sum(counts[x] > 0 for x in w), n, sum(math.log10((counts[x] + 1) / (n + 1 * (v + 1))) for x in w))
     return out
 
 
 def test_lm(spark, docs):
     d = lm.train_rows(docs.where("doc_id is not null"))
-    got = {r["doc_id"]: r for r in lm.score(d, "_train", block_bytes=2000).collect()}
+    got = {r["doc_id"]: r for r in lm.score(d, "_train", hot_words=100, hot_grams=300).collect()}
     rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()]
     want = plain_base(rows, lambda i: zlib.crc32(str(i).encode()) % 7 != 2)
     assert set(got) == set(want)
@@ -116,45 +116,82 @@ def test_lm(spark, docs):
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == w[:3]
         assert math.isclose(got[i]["base_score"], w[3], rel_tol=1e-9)
         assert got[i]["score"] < 0
+    # what is learned from contexts holds for texts that were not learned from
     held = [i for i in want if zlib.crc32(str(i).encode()) % 7 == 2]
-    assert sum(got[i]["score"] for i in held) > sum(got[i]["base_score"] for i in held)
+    flat = {r["doc_id"]: r["score"] for r in lm.score(d, "_train", depth=1).collect()}
+    assert sum(got[i]["score"] for i in held) > 0.9 * sum(flat[i] for i in held)
     assert lm.score(d.where("false"), "_train").count() == 0
     untrained = lm.score(d.withColumn("_train", F.lit(False)), "_train").where("doc_id = 900").first()
     assert (untrained["n_tokens"], untrained["n_known"], untrained["base_score"]) == (1, 0, 0.0)
 
 
-def test_suffix_tree(spark):
-    """States are the longest retained suffixes, and each distribution sums to one."""
-    texts = [sentence(random.Random(i), "xx", 30) for i in range(40)]
-    depth = 3
-    tree = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), depth, rare=1e-3, gain=1e-4)
-    width = tree.width + 1
-    p = 10 ** tree.logp.reshape(-1, width).astype(float)[:, : tree.width]
-    uniform = (258 - tree.width) / 257  # what symbols outside the training share, beside class 0
-    assert np.all(p.sum(1) <= 1 + 1e-3) and np.all(p.sum(1) >= 1 - uniform - 1e-3)
-    assert tree.kept > 10
-    s = lm.symbols(lm.canonical(texts[0]), depth)
-    one = tree.score([s])[0]
-    assert math.isclose(one, tree.score([lm.symbols(lm.canonical("x y"), depth), s])[1], rel_tol=1e-6)
-    long = lm.symbols(lm.canonical(" ".join(texts)), depth)
-    state, total = 0, 0.0
-    for i, x in enumerate(tree.of[long].tolist()):
-        total += tree.logp[state * width + x] if i >= depth else 0
-        state = tree.next[state * width + x]
-    assert math.isclose(tree.score([long])[0], total, rel_tol=1e-5)
-
-
-def test_tree_in_branches(spark, docs):
-    """Scores by branches are those of the whole tree in memory, for any bounds."""
-    d = lm.train_rows(docs.where("doc_id is not null"))
-    texts = {r["doc_id"]: lm.symbols(lm.canonical(r["text"]), lm.DEPTH) for r in d.collect()}
-    total = sum(texts[r["doc_id"]].size - lm.DEPTH for r in d.where("_train").collect())
-    for least, nats in ((2, 0.0), (8, 1.0), (20, 12.0)):
-        tree = lm.train(d.where("_train"), rare=(least - 0.5) / total, gain=nats / total)
-        got = {r["doc_id"]: r["score"] for r in lm.score(d, "_train", block_bytes=3000, least=least, nats=nats).collect()}
-        want = dict(zip(texts, tree.score(list(texts.values())).tolist(), strict=True))
-        assert set(got) == set(want)
-        assert all(math.isclose(got[i], want[i], rel_tol=1e-4, abs_tol=1e-4) for i in want)
+def plain_scores(rows, train, depth, least, nats):
+    """Counts, divergence, smoothing and longest kept suffix, one symbol after the other, from the definition."""
+
+    def past(t):
+        raw = b" ".join((t or "").encode().lower().split())
+        return [0] * depth + [x + 1 for x in raw] + [257]
+
+    follow: dict[tuple, Counter] = {}
+    for i, t in rows:
+        if train(i):
+            v = past(t)
+            for at in range(depth, len(v)):
+                for k in range(depth + 1):
+                    follow.setdefault(tuple(v[at - k : at]), Counter())[v[at]] += 1
+
+    def p(context, x):
+        own = follow.get(context, Counter())
+        below = p(context[1:], x) if context else 1 / 257
+        return (own[x] + len(own) * below) / (sum(own.values()) + len(own)) if own else below
+
+    kept = {()} if () in follow else set()
+    for c, own in follow.items():
+        gain = sum(n * math.log(p(c, x) / (p(c[1:], x) if c else 1 / 257)) for x, n in own.items())
+        if sum(own.values()) >= least and gain >= nats:
+            kept |= {c[k:] for k in range(len(c) + 1)}
+    out = {}
+    for i, t in rows:
+        v, total = past(t), 0.0
+        for at in range(depth, len(v)):
+            longest = next((c for k in range(depth, -1, -1) if (c := tuple(v[at - k : at])) in kept), None)
+            total += math.log10(1 / 257 if longest is None else p(longest, v[at]))
+        out[i] = total
+    return out, len(kept)
+
+
+def test_scores_by_definition(spark, docs):
+    """For any bounds, with everything broadcast and with next to nothing broadcast, in one branch table or many."""
+    part = docs.where("doc_id is not null and (doc_id < 60 or doc_id >= 900)")
+    d = lm.train_rows(part)
+    rows = [(r["doc_id"], r["text"]) for r in part.collect()]
+    learnt = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
+    base = plain_base(rows, learnt)
+    for least, nats, depth, options in (
+        (8, 1.0, 5, {}),
+        (2, 0.0, 4, {"hot_grams": 50, "hot_words": 10, "bucket_grams": 40}),
+        (20, 12.0, 3, {"hot_grams": 0, "hot_words": 0, "bucket_grams": 10}),
+        (2, 1.0, 2, {"hot_grams": 30, "bucket_grams": 10}),
+    ):
+        got = {r["doc_id"]: r for r in lm.score(d, "_train", depth=depth, least=least, nats=nats, **options).collect()}
+        want, kept = plain_scores(rows, learnt, depth, least, nats)
+        assert set(got) == set(want) and kept > 3
+        for i, w in want.items():
+            assert math.isclose(got[i]["score"], w, rel_tol=1e-9)
+            assert math.isclose(got[i]["base_score"], base[i][3], rel_tol=1e-9)
+            assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == base[i][:3]
+
+
+def test_lm_rows(spark):
+    """Repeated and null ids, long words, clashing names: every row is scored for itself."""
+    long = "w" * 200
+    rows = [(1, f"a b {long}", 5), (1, f"a b {long}", 6), (1, "other", 7), (None, None, 8), (None, f"a {long} {long}", 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, gram int").withColumn("row", F.lit("x")).withColumn("_train", F.lit(True))
+    got = sorted((r["doc_id"] or 0, r["n_tokens"], r["n_known"]) for r in lm.score(d, "_train").collect())
+    assert got == [(0, 1, 1), (0, 4, 4), (1, 2, 2), (1, 4, 4), (1, 4, 4)]
+    n, v, c = 15, 5, {"a": 3, long: 4}
+    want = sum(math.log10((x + 1) / (n + v + 1)) for x in (c["a"], c[long], c[long], 5))
+    assert math.isclose(next(r["base_score"] for r in lm.score(d, "_train").collect() if r["doc_id"] is None and r["n_tokens"] == 4), want)
 
 
 def test_tree_grows_with_the_corpus(spark):

@@ -10,49 +10,46 @@ last ``depth`` symbols over all training texts.  A context enters the tree
   longer context does.
 
 Both bounds are absolute, so the tree grows with the corpus.  Distributions
-are smoothed towards the next shorter context (Witten-Bell).
+are smoothed towards the next shorter context (Witten-Bell); a symbol is
+scored after the longest suffix of its past that the tree holds.
 
 The tree is split by the last three symbols of a context into branches, which
 are dealt into buckets; what is shorter is bounded by the alphabet and is
-broadcast.  A symbol's probability depends on the ``depth`` symbols before it,
-so a block of texts asks every bucket for its different grams' probabilities.
-
-``SuffixTree`` holds a whole tree in memory.  Closed under prefixes, it is an
-automaton: a table gives the longest suffix state after any state and symbol.
-It is for corpora whose tree fits one machine; ``score`` does not use it.
-
-Beside the tree stands an add-one unigram model over words.  Its counts do
-not fit one machine, so they are not broadcast: texts are dealt into blocks,
-every block asks for the counts of its own words and gets those which its own
-texts do not already tell.
+broadcast.  Beside the tree stands an add-one unigram model over words.
+
+Texts are never shuffled.  One pass counts words and grams (a symbol behind
+its ``depth`` predecessors).  The most frequent words and grams, at most
+``HOT_WORDS`` and ``HOT_GRAMS`` of them, are broadcast with their counts and
+probabilities, and a second pass sums up what they tell of each text.  What a
+text holds beside them is written out, a row per text and word or gram; these
+rows are joined with the other words' counts and ask the branches, and their
+sums are added to the text's.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import columns, staged, text_bytes
+from tidelog.llm.common import columns, staged
 from tidelog.llm.langid import GramCounts, held_out
 
 DEPTH = 5
-RARE = 1e-4
-GAIN = 2e-7
 LEAST, NATS = 8, 1.0
-BUCKET_BYTES, MOST_BUCKETS = 1 << 16, 1024
-BLOCK_BYTES = 8 << 20
+HOT_WORDS, HOT_GRAMS = 1 << 19, 1 << 21
+#: A broadcast word has so many bytes at most.
+WORD_BYTES = 64
+BUCKET_GRAMS = 1 << 16
 _BITS, _END = 9, 257  # symbols: 0 before the start, byte + 1, end
 _MASK = (1 << _BITS) - 1
-_STEP = 256
+_HELD = 1 << 20
 
 
 def canonical(text: str | None) -> list[bytes]:
@@ -70,30 +67,45 @@ def symbols(words: list[bytes], depth: int) -> np.ndarray:
     return out
 
 
-def count_contexts(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """text -> gram, n: every symbol behind its ``depth`` predecessors, packed."""
+def count_all(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """text -> gram, word, n: counts of all grams (word null) and words (gram null)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, held, size = GramCounts(), [], 0
+    def grams_out(counts: GramCounts) -> Iterator[pa.RecordBatch]:
+        keys, n = counts.merge()
+        for i in range(0, keys.size, 1 << 16):
+            k = pa.array(keys[i : i + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([k, pa.nulls(len(k), pa.binary()), pa.array(n[i : i + (1 << 16)])], names=["gram", "word", "n"])
 
-        def flush() -> None:
-            counts.add(_packed(held, depth))
+    def words_out(words: Counter) -> Iterator[pa.RecordBatch]:
+        items = list(words.items())
+        for i in range(0, len(items), 1 << 16):
+            w, n = zip(*items[i : i + (1 << 16)], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(w), pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64())], names=["gram", "word", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, words, held, size = GramCounts(), Counter(), [], 0
         for batch in batches:
             for (text,) in columns(batch, "text"):
-                held.append(symbols(canonical(text), depth))
+                w = canonical(text)
+                words.update(w)
+                held.append(symbols(w, depth))
                 size += held[-1].size
-                if size > 1 << 20:
-                    flush()
+                if size > _HELD:
+                    counts.add(_packed(held, depth))
                     held, size = [], 0
+                if len(words) > _HELD:  # counts of a part are added up behind the shuffle
+                    yield from words_out(words)
+                    words = Counter()
+                if counts.most > 8 * _HELD:
+                    yield from grams_out(counts)
+                    counts = GramCounts()
         if held:
-            flush()
-        keys, n = counts.merge()
-        for i in range(0, keys.size, 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], names=["gram", "n"])
+            counts.add(_packed(held, depth))
+        yield from words_out(words)
+        yield from grams_out(counts)
 
-    rows = texts.select("text").mapInArrow(run, "gram long, n long")
-    return rows.groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = texts.select("text").mapInArrow(run, "gram long, word binary, n long")
+    return rows.groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
 
 def _packed(held: list[np.ndarray], depth: int) -> np.ndarray:
@@ -198,324 +210,200 @@ def _bucket(grams: np.ndarray, split: int, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _by_bucket(grams: np.ndarray, split: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Grams in order of their bucket, the buckets, and where each begins."""
-    of = _bucket(grams, split, buckets)
-    order = np.lexsort((grams, of))
-    found, first = np.unique(of[order], return_index=True)
-    return grams[order], found, first
-
-
-def _pack(grams: np.ndarray) -> bytes:
-    """Sorted grams: differences, byte by byte of their places, compressed."""
-    return zlib.compress(np.ascontiguousarray(np.diff(grams, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), np.uint8).reshape(8, -1).T).view("<i8").ravel())
-
-
 def _branch(part: pa.Table, split: int, depth: int, crown: Crown, least: float, nats: float) -> list[Level]:
     grams, n = part.column("gram").to_numpy(), part.column("n").to_numpy()
     order = np.argsort(grams)
     return _levels(grams[order], n[order], split, depth, crown.up, least, nats)
 
 
-def grow(texts: DataFrame, asks: DataFrame, buckets: int, depth: int = DEPTH, least: float = LEAST, nats: float = NATS) -> DataFrame:
-    """block, bucket, grams -> block, bucket, chances: log10 probabilities (32-bit floats) from the tree of all rows of ``text``."""
-    session, split = texts.sparkSession, min(3, depth)
-    grams = staged(count_contexts(texts, depth), "lm-grams")
-    short = grams.groupBy(F.col("gram").bitwiseAND(_low(split)).alias("gram")).agg(F.sum("n").alias("n")).toPandas()  # bounded by the alphabet
-    crown = Crown(short["gram"].to_numpy(np.int64), short["n"].to_numpy(np.int64), split, least, nats)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of = _bucket(b.column("gram").to_numpy(), split, buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(of), b.column("gram"), b.column("n")], names=["bucket", "gram", "n"])
-
-    parts = grams.select("gram", "n").mapInArrow(place, "bucket long, gram long, n long").groupBy("bucket")
-    told = session.sparkContext.broadcast(crown)
-
-    def kept(part: pa.Table) -> pa.Table:
-        low = _branch(part, split, depth, told.value, least, nats)[0]
-        return pa.table({"context": pa.array(np.unique(low.contexts[low.kept] & _low(split - 1)))})
-
-    crown.keep(parts.applyInArrow(kept, "context long").distinct().toPandas()["context"].to_numpy(np.int64))
-    whole = session.sparkContext.broadcast(crown)
-
-    def answer(key, part: pa.Table, asked: pa.Table) -> pa.Table:
-        top = whole.value
-        levels = _branch(part, split, depth, top, least, nats)
-        out = []
-        for raw in asked.column("grams").to_pylist():
-            g = _unpack(raw)
-            p, _ = _chances(levels, g, *top.chances(g))
-            out.append(np.log10(p).astype("<f4").tobytes())
-        return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "chances": pa.array(out, pa.binary())})
-
-    return parts.cogroup(asks.groupBy("bucket")).applyInArrow(answer, "block long, bucket long, chances binary")
-
-
-class SuffixTree:
-    """Automaton of the retained contexts with smoothed distributions."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int, gain: float = GAIN):
-        """levels[k]: context, symbol and count of the entries with contexts of k symbols."""
-        self.depth = depth
-        every = np.unique(np.concatenate([levels[0][1], [_END]]).astype(np.int64)) if levels else np.array([_END])
-        contexts = np.unique(np.concatenate([(c >> (_BITS * i)) & _MASK for k, (c, _, _) in enumerate(levels) for i in range(k)] or [np.zeros(0, np.int64)]))
-        every = np.unique(np.concatenate([every, contexts]))
-        self.of = np.ones(1 << _BITS, np.int64)  # class 0: before the start; 1: symbols not seen in training
-        self.of[0] = 0
-        named = every[every > 0]
-        self.of[named] = np.arange(2, named.size + 2)
-        width = named.size + 2
-        total = float(levels[0][2].sum()) if levels else 0.0
-        base = np.full(width, 1 / 257)
-        base[0] = 0
-        # distributions by (length, context), each smoothed towards the next shorter one
-        dist: dict[tuple[int, int], np.ndarray] = {}
-        kept: set[tuple[int, int]] = {(0, 0)}
-        if not levels or not total:
-            dist[0, 0] = base
-        for k, (context, symbol, n) in enumerate(levels if total else []):
-            order = np.argsort(context, kind="stable")
-            context, symbol, n = context[order], symbol[order], n[order].astype(float)
-            starts = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if context.size else np.zeros(0, int)
-            for a, b in zip(starts.tolist(), [*starts.tolist()[1:], context.size], strict=True):
-                key, own, s = int(context[a]), n[a:b], self.of[symbol[a:b]]
-                up = base if k == 0 else dist.get((k - 1, key & ((1 << (_BITS * (k - 1))) - 1)))
-                if up is None:
-                    continue
-                p = up * ((b - a) / (own.sum() + (b - a)))
-                p[s] += own / (own.sum() + (b - a))
-                dist[k, key] = p
-                if k and float((own * np.log(p[s] / up[s])).sum()) >= gain * total:
-                    kept.add((k, key))
-        for k in range(depth, 0, -1):  # shorter contexts of what is kept
-            kept |= {(k - 1, c & ((1 << (_BITS * (k - 1))) - 1)) for j, c in kept if j == k}
-        states = set(kept)
-        for k in range(depth, 0, -1):  # contexts on the way to what is kept
-            states |= {(k - 1, c >> _BITS) for j, c in states if j == k}
-        ordered = sorted(states)
-        number = {x: i for i, x in enumerate(ordered)}
-
-        def longest(k: int, c: int, among) -> tuple[int, int]:
-            while (k, c) not in among:
-                k -= 1
-                c &= (1 << (_BITS * k)) - 1
-            return k, c
-
-        self.kept, self.states = len(kept), len(ordered)
-        self.logp = np.zeros((len(ordered), width + 1), np.float32)  # the last column, for what lies behind a text, costs nothing
-        self.next = np.zeros((len(ordered), width + 1), np.int32)
-        suffix = [0] * len(ordered)
-        for i, (k, c) in enumerate(ordered):
-            self.logp[i, :width] = np.log10(np.maximum(dist[longest(k, c, kept)], 1e-300))
-            if k:
-                suffix[i] = number[longest(k - 1, c & ((1 << (_BITS * (k - 1))) - 1), number)]
-            # as after the longest shorter state, where this one does not go on itself
-            row = self.next[suffix[i]].copy() if k else np.zeros(width + 1, np.int32)
-            self.next[i] = row
-        children: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for i, (k, c) in enumerate(ordered):
-            if k:
-                children.setdefault((k - 1, c >> _BITS), []).append((int(self.of[c & _MASK]), i))
-        for i, x in enumerate(ordered):  # by length, so that the shorter state's row is complete
-            if x[0]:
-                self.next[i] = self.next[suffix[i]]
-            for s, to in children.get(x, []):
-                self.next[i, s] = to
-        self.width = width
-        self.logp, self.next = self.logp.ravel(), self.next.ravel()
-
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text, given as ``symbols``."""
-        depth, columns_ = self.depth, self.width + 1
-        flat = np.concatenate([*texts, np.zeros(_STEP + depth, np.int16)])
-        sizes = np.array([t.size - depth for t in texts])
-        first = np.cumsum([0, *[t.size for t in texts[:-1]]])
-        counts = -(-sizes // _STEP)
-        owner = np.repeat(np.arange(len(texts)), counts)
-        nth = np.arange(owner.size) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = first[owner] + nth * _STEP
-        stop = first[owner] + depth + sizes[owner]  # behind the text's end
-        classes = self.of[flat].astype(np.int32)
-        total, state = np.zeros(owner.size), np.zeros(owner.size, np.int64)
-        for i in range(depth + _STEP):
-            at = start + i
-            c = classes[at]
-            if i >= depth:
-                c = np.where(at < stop, c, self.width)
-                spot = state * columns_ + c
-                total += self.logp[spot]
-            else:
-                spot = state * columns_ + c
-            state = self.next[spot].astype(np.int64)
-        return np.bincount(owner, weights=total, minlength=len(texts))
-
-
-def train(texts: DataFrame, depth: int = DEPTH, rare: float = RARE, gain: float = GAIN) -> SuffixTree:
-    """A tree in memory from all rows of ``text``; bounds are shares of all positions, and contexts above ``rare`` come to the driver."""
-    grams = staged(count_contexts(texts, depth), "lm-grams")
-    total = grams.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    if not total:
-        return SuffixTree([], depth, gain)
-    frames = []
-    level = grams
-    for k in range(depth, -1, -1):
-        if k < depth:
-            level = level.groupBy(F.col("gram").bitwiseAND((1 << (_BITS * (k + 1))) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        split = level.select(F.shiftright("gram", _BITS).alias("context"), F.col("gram").bitwiseAND(_MASK).alias("symbol"), "n")
-        often = split.groupBy("context").agg(F.sum("n").alias("_all")).where(F.col("_all") >= rare * total)
-        frames.append(split.join(often.select("context"), "context", "left_semi").withColumn("k", F.lit(k)))
-    rows = frames[0]
-    for f in frames[1:]:
-        rows = rows.unionByName(f)
-    found = rows.toPandas()
-    levels = []
-    for k in range(depth + 1):
-        own = found[found["k"] == k]
-        levels.append((own["context"].to_numpy(np.int64), own["symbol"].to_numpy(np.int64), own["n"].to_numpy(np.int64)))
-    return SuffixTree(levels, depth, gain)
-
-
-NAMES = ["block", "word", "n", "bucket", "grams"]
-
-
-class Grams:
-    """The different grams of texts given as ``symbols``."""
-
-    def __init__(self, depth: int):
-        self.depth, self.held, self.size, self.seen = depth, [], 0, np.zeros(0, np.int64)
-
-    def add(self, text: np.ndarray) -> None:
-        self.held.append(text)
-        self.size += text.size
-        if self.size > 1 << 20:
-            self.all()
-
-    def all(self) -> np.ndarray:
-        if self.held:
-            self.seen = pd.unique(np.concatenate([self.seen, pd.unique(_packed(self.held, self.depth))]))
-            self.held, self.size = [], 0
-        return self.seen
-
-
-class Chances:
-    """Scores texts by their grams' log10 probabilities."""
-
-    def __init__(self, grams: np.ndarray, logp: np.ndarray, depth: int):
-        if grams.size != logp.size:
-            raise ValueError(f"asked for {grams.size} grams, told of {logp.size}")
-        self.index, self.logp, self.depth = pd.Index(grams), logp.astype(np.float64), depth
-
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text, given as ``symbols``."""
-        each = self.logp[self.index.get_indexer(_packed(texts, self.depth))]
-        return np.add.reduceat(each, np.cumsum([0, *[t.size - self.depth for t in texts[:-1]]]))
-
-
-def score(docs: DataFrame, training: str, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, block_bytes: int = BLOCK_BYTES, least: float = LEAST, nats: float = NATS) -> DataFrame:
+class Tree:
+    """The branches of the tree, as a table of buckets, below a broadcast crown."""
+
+    def __init__(self, grams: DataFrame, depth: int = DEPTH, least: float = LEAST, nats: float = NATS, bucket_grams: int = BUCKET_GRAMS):
+        """grams: gram, n."""
+        self.depth, self.least, self.nats, self.split = depth, least, nats, min(3, depth)
+        self.session, split = grams.sparkSession, self.split
+        short = grams.groupBy(F.col("gram").bitwiseAND(_low(split)).alias("gram")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
+        short = short.toArrow()  # bounded by the alphabet
+        self.buckets = max(1, -(-int(short.column("kinds").to_numpy().sum()) // bucket_grams))
+        crown = Crown(short.column("gram").to_numpy(), short.column("n").to_numpy(), split, least, nats)
+        self.parts = self._placed(grams.select("gram", "n"), "gram long, n long").groupBy("bucket")
+        told = self.session.sparkContext.broadcast(crown)
+
+        def kept(part: pa.Table) -> pa.Table:
+            low = _branch(part, split, depth, told.value, least, nats)[0]
+            return pa.table({"context": pa.array(np.unique(low.contexts[low.kept] & _low(split - 1)))})
+
+        crown.keep(self.parts.applyInArrow(kept, "context long").distinct().toArrow().column("context").to_numpy())  # bounded by the alphabet
+        self.crown = self.session.sparkContext.broadcast(crown)
+
+    def _placed(self, rows: DataFrame, schema: str) -> DataFrame:
+        split, buckets = self.split, self.buckets
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                of = pa.array(_bucket(b.column("gram").to_numpy(), split, buckets))
+                yield pa.RecordBatch.from_arrays([of, *b.columns], names=["bucket", *b.schema.names])
+
+        return rows.mapInArrow(place, f"bucket long, {schema}")
+
+    def often(self, bound: int) -> DataFrame:
+        """gram, logp (log10) of training grams with a count of ``bound`` or more."""
+        split, depth, least, nats, whole = self.split, self.depth, self.least, self.nats, self.crown
+
+        def tell(part: pa.Table) -> pa.Table:
+            levels = _branch(part, split, depth, whole.value, least, nats)
+            g = levels[-1].grams[levels[-1].n >= bound]
+            return pa.table({"gram": pa.array(g), "logp": pa.array(np.log10(_chances(levels, g, *whole.value.chances(g))[0]))})
+
+        return self.parts.applyInArrow(tell, "gram long, logp double")
+
+    def ask(self, grams: DataFrame) -> DataFrame:
+        """gram -> gram, logp (log10), for different grams, seen in training or not."""
+        split, depth, least, nats, whole = self.split, self.depth, self.least, self.nats, self.crown
+
+        def tell(part: pa.Table, asked: pa.Table) -> pa.Table:
+            levels = _branch(part, split, depth, whole.value, least, nats)
+            g = asked.column("gram").to_numpy()
+            return pa.table({"gram": pa.array(g), "logp": pa.array(np.log10(_chances(levels, g, *whole.value.chances(g))[0]))})
+
+        return self.parts.cogroup(self._placed(grams.select("gram"), "gram long").groupBy("bucket")).applyInArrow(tell, "gram long, logp double")
+
+
+def _bound(counts: DataFrame, most: int) -> int:
+    """The smallest power of two so that at most ``most`` rows have that ``n`` or more."""
+    by = {r["e"]: r["rows"] for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("e")).agg(F.count(F.lit(1)).alias("rows")).collect()}  # 64 rows
+    e = max(by, default=0) + 1
+    while e > 0 and by.get(e - 1, 0) <= most:
+        e -= 1
+        most -= by.get(e, 0)
+    return 1 << e
+
+
+def _packed_table(rows: DataFrame) -> bytes:
+    """A bounded table as an Arrow stream."""
+    found, sink = rows.toArrow(), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, found.schema) as out:
+        out.write_table(found)
+    return sink.getvalue().to_pybytes()
+
+
+def score(
+    docs: DataFrame,
+    training: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    depth: int = DEPTH,
+    least: float = LEAST,
+    nats: float = NATS,
+    hot_words: int = HOT_WORDS,
+    hot_grams: int = HOT_GRAMS,
+    bucket_grams: int = BUCKET_GRAMS,
+) -> DataFrame:
     """Scores of all rows; ``training``: a boolean column, the rows to learn from.
 
     Returns id, n_tokens, n_known, train_tokens, base_score, score.  A null or
-    empty text is the end token alone.  Ids may be null or repeated; other
-    columns are ignored.  Without training rows the unigram model knows
-    nothing (N = V = 0) and the tree is uniform.
+    empty text is the end token alone.  Ids may be null or repeated: every row
+    is scored for itself.  Other columns are ignored, whatever their names; an
+    empty table gives no rows.  Without training rows the unigram model knows
+    nothing (N = V = 0) and the tree is uniform.  ``hot_words``, ``hot_grams``
+    and ``bucket_grams`` change the plan, not the result.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(training), F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size_all, split = text_bytes(rows, "text"), min(3, depth)
-    blocks = max(1, math.ceil(size_all / block_bytes))
-    buckets = max(1, min(MOST_BUCKETS, size_all // BUCKET_BYTES))
-    # rows of one id may share a block; a hash of the text keeps repeated ids apart
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("long"))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local: dict[int, tuple[Counter, Counter, Grams]] = {}
-        for batch in batches:
-            for block, learn, text in columns(batch, "block", "train", "text"):
-                seen = local.setdefault(block, (Counter(), Counter(), Grams(depth)))
-                w = canonical(text)
-                seen[0 if learn else 1].update(w)
-                seen[2].add(symbols(w, depth))
-        for block, (taught, other, grams) in local.items():
-            ordered, found, first = _by_bucket(grams.all(), split, buckets)
-            packed = [_pack(g) for g in np.split(ordered, first[1:])]
-            none = [None] * len(packed)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(packed), pa.int64()), pa.array(none, pa.binary()), pa.array(none, pa.int64()), pa.array(found), pa.array(packed, pa.binary())], names=NAMES
-            )
-            items = [(w, n) for w, n in taught.items()] + [(w, 0) for w in other if w not in taught]
-            for i in range(0, len(items), 1 << 16):
-                w, n = zip(*items[i : i + (1 << 16)], strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(w), pa.int64()), pa.array(w, pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(w), pa.int64()), pa.nulls(len(w), pa.binary())], names=NAMES
-                )
-
-    by_block = dealt.repartition("block")
-    found = staged(by_block.select("block", "train", "text").mapInArrow(words, "block long, word binary, n long, bucket long, grams binary"), "lm-words")
-    counts = found.where("bucket is null").select("block", "word", "n")
-    answers = grow(rows.where("train"), found.where("bucket is not null").select("block", "bucket", "grams"), buckets, depth, least, nats)
-    totals = counts.groupBy("word").agg(F.sum("n").alias("c"))
-    facts = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("c") > 0, 1)).alias("kinds")).first()
+    named = lambda c: F.col(f"`{c}`")
+    rows = docs.select(named(id_col).alias("id"), F.coalesce(named(training), F.lit(False)).alias("train"), F.coalesce(named(text_col).cast("string"), F.lit("")).alias("text"))
+    session = docs.sparkSession
+    counts = staged(count_all(rows.where("train"), depth), "lm-counts")
+    grams, words = counts.where("gram is not null").select("gram", "n"), counts.where("word is not null").select("word", F.col("n").alias("c"))
+    facts = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("kinds")).first()
     ends = rows.where("train").count()
     tokens, kinds = facts["tokens"] + ends, facts["kinds"] + (1 if ends else 0)
-    whole = F.sum("n").over(Window.partitionBy("word"))
-    asked = counts.withColumn("c", whole).where("c <> n").select("block", "word", "c")
-    told = asked.withColumns({"bucket": F.lit(None).cast("long"), "chances": F.lit(None).cast("binary")})
-    told = told.unionByName(answers, allowMissingColumns=True)
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        chances = right.filter(pc.is_valid(right.column("bucket"))).sort_by("bucket").column("chances").to_pylist()
-        right = right.filter(pc.is_null(right.column("bucket")))
-        more = dict(zip(right.column("word").to_pylist(), right.column("c").to_pylist(), strict=True))
-        own, grams = Counter(), Grams(depth)
-        for batch in left.to_batches():
-            for learn, text in columns(batch, "train", "text"):
-                w = canonical(text)
-                grams.add(symbols(w, depth))
-                if learn:
-                    own.update(w)
-        ordered, _, _ = _by_bucket(grams.all(), split, buckets)
-        tree = Chances(ordered, np.frombuffer(b"".join(chances), "<f4"), depth)
-        del chances, grams
-        own.update({w: c - own.get(w, 0) for w, c in more.items()})
-        del more
-        floor = math.log10((tokens + 1) * (kinds + 1)) if (tokens + 1) * (kinds + 1) > 0 else 0.0
-        held, size = [], 0
-        scores: list[float] = []
-        get = own.get
-        for batch in left.to_batches():
+
+    brief = words.where(F.octet_length("word") <= WORD_BYTES)
+    word_bound = _bound(brief.select(F.col("c").alias("n")), hot_words)
+    hot = session.sparkContext.broadcast(_packed_table(brief.where(F.col("c") >= word_bound)))  # at most hot_words of WORD_BYTES
+    tree = Tree(grams, depth, least, nats, bucket_grams)
+    table = session.sparkContext.broadcast(_packed_table(tree.often(_bound(grams, hot_grams))))  # at most hot_grams
+    log_ends, floor = math.log10(ends + 1), math.log10(tokens + kinds + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        words, grams = (pa.ipc.open_stream(x.value).read_all() for x in (hot, table))
+        get = dict(zip(words.column("word").to_pylist(), np.log10(words.column("c").to_numpy() + 1.0).tolist(), strict=True)).get
+        index, logp = pd.Index(grams.column("gram").to_numpy()), np.append(grams.column("logp").to_numpy(), 0.0)  # place -1 adds nothing
+        del words, grams
+        row = TaskContext.get().partitionId() << 40
+        kind = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            packed = _packed([h[4] for h in held], depth)
+            sizes = np.array([h[4].size - depth for h in held])
+            at = index.get_indexer(packed)
+            first = np.cumsum([0, *sizes[:-1]])
+            sums = np.add.reduceat(logp[at], first)
+            r = row - len(held)
+            nothing = pa.nulls(len(held), pa.binary())
+            longs = lambda x: pa.array(x, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [longs(range(r, row)), pa.array([h[0] for h in held], kind), longs([h[1] for h in held]), longs([h[2] for h in held])]
+                + [pa.array([h[3] for h in held], pa.float64()), pa.array(sums), nothing, pa.nulls(len(held), pa.int64()), pa.nulls(len(held), pa.int64())],
+                names=NAMES,
+            )
+            other = np.flatnonzero(at < 0)
+            for of, more, none in ((rest[0], rest[1], pa.binary()), (None, None, None)):
+                if of is None:  # grams, those of one text counted
+                    which = np.repeat(np.arange(r, row), sizes)[other]
+                    pair = np.lexsort((packed[other], which))
+                    which, gram = which[pair], packed[other][pair]
+                    new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (gram[1:] != gram[:-1])][: which.size])
+                    of, word, n = which[new], pa.nulls(new.size, pa.binary()), np.diff(np.r_[new, which.size])
+                    gram = pa.array(gram[new])
+                else:
+                    word, n, gram = pa.array(more, none), rest[2], pa.nulls(len(of), pa.int64())
+                empty = [pa.nulls(len(of), t) for t in (kind, pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                if len(of):
+                    yield pa.RecordBatch.from_arrays([longs(of), *empty, word, gram, longs(n)], names=NAMES)
+
+        held, rest, size = [], ([], [], []), 0
+        for batch in batches:
+            kind = batch.schema.field("id").type
             for ident, text in columns(batch, "id", "text"):
                 w = canonical(text)
-                c = [get(x, 0) for x in w]
-                c.append(ends)
-                arr = np.array(c, float)
-                known = int((arr > 0).sum())
-                out.append((ident, len(c), known, float(np.log10(arr + 1).sum() - len(c) * floor)))
-                held.append(symbols(w, depth))
-                size += held[-1].size
-                if size > 1 << 20:
-                    scores.extend(tree.score(held).tolist())
-                    held, size = [], 0
+                of = list(map(get, w))
+                left = [x for x, y in zip(w, of, strict=True) if y is None]
+                total = math.fsum(y for y in of if y is not None) if left else math.fsum(of)
+                held.append((ident, len(w) + 1, len(w) - len(left) + (ends > 0), total + log_ends - (len(w) + 1) * floor, symbols(w, depth)))
+                for x, n in Counter(left).items():
+                    rest[0].append(row)
+                    rest[1].append(x)
+                    rest[2].append(n)
+                row += 1
+                size += held[-1][4].size
+                if size > _HELD:
+                    yield from flush()
+                    held, rest, size = [], ([], [], []), 0
         if held:
-            scores.extend(tree.score(held).tolist())
-        cols = list(zip(*out, strict=True)) if out else [()] * 4
-        return pa.table(
-            {
-                "id": pa.array(cols[0], left.schema.field("id").type),
-                "n_tokens": pa.array(cols[1], pa.int64()),
-                "n_known": pa.array(cols[2], pa.int64()),
-                "base_score": pa.array(cols[3], pa.float64()),
-                "score": pa.array(scores, pa.float64()),
-            }
-        )
-
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, f"id {kind}, n_tokens long, n_known long, base_score double, score double")
-    return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+            yield from flush()
+
+    id_kind = rows.schema["id"].dataType.simpleString()
+    schema = f"row long, id {id_kind}, n_tokens long, n_known long, base_score double, score double, word binary, gram long, n long"
+    found = staged(rows.select("id", "text").mapInArrow(run, schema), "lm-rows")
+    # words and grams beside the broadcast ones; unknown words add nothing
+    rare = words.where((F.col("c") < word_bound) | (F.octet_length("word") > WORD_BYTES))
+    of_words = found.where("word is not null").join(rare, "word").select("row", F.col("n").alias("known"), (F.col("n") * F.log10(F.col("c") + 1)).alias("base"), F.lit(0.0).alias("tree"))
+    asked = found.where("gram is not null").select("row", "gram", "n")
+    answers = tree.ask(asked.select("gram").distinct())
+    of_grams = asked.join(answers, "gram").select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("n") * F.col("logp")).alias("tree"))
+    sums = of_words.unionByName(of_grams).groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "base", "tree")])
+    plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
+    return (
+        found.where("n_tokens is not null")
+        .join(sums, "row", "left")
+        .select(F.col("id").alias(id_col), "n_tokens", plus("n_known", "known"), F.lit(tokens).cast("long").alias("train_tokens"), plus("base_score", "base"), plus("score", "tree"))
+    )
+
+
+NAMES = ["row", "id", "n_tokens", "n_known", "base_score", "score", "word", "gram", "n"]
 
 
 def train_rows(docs: DataFrame, id_col: str = "doc_id", modulus: int = 7, remainder: int = 2) -> DataFrame:
