@@ -235,7 +235,7 @@ def test_viterbi_is_the_best_labelling():
         every = [[(k >> i) & 1 for i in range(len(rows))] for k in range(1 << len(rows))]
         assert math.isclose(value(field.viterbi(rows).tolist()), max(map(value, every)))
         labels = np.array(every[-1])
-        _, _, loglik = field.gradient(rows, labels)
+        _, _, loglik = field.gradient(rows[None], labels[None], np.array([len(rows)]), np.ones(1))
         assert math.isclose(loglik, value(labels.tolist()) - math.log(sum(math.exp(value(e)) for e in every)), abs_tol=1e-9)
     assert field.viterbi(rows[:0]).size == 0
 
@@ -252,6 +252,30 @@ def test_quality(spark):
     kept = {r["doc_id"]: r["kept"] for r in got.collect()}
     assert all(kept[i] == bool(i % 2) for i in range(120))
     assert kept[202] and not kept[200] and not kept[201]
+    # a line of boilerplate in a good text is told from its neighbours
+    model = quality.train(docs, labels)
+    mixed = next(t for i, t, _ in rows if i == 202)
+    f, words = quality.features([x for x in mixed.split("\n")], [False] * 4)
+    assert model.viterbi(f).tolist() == [1, 1, 1, 0] and 0 < got.where("doc_id = 202").first()["content_share"] < 1
     untrained = quality.judge(docs, quality.train(docs, labels.where("false")))
     assert untrained.where("not base_failed and not kept").count() == 0
     assert quality.judge(docs.where("false"), quality.LineField()).count() == 0
+
+
+def test_quality_rows(spark):
+    """Repeated ids, labels that disagree, and columns whose names clash or need quoting."""
+    rows = [(1, "a b c d e f g h i j k. " * 2, (1,), "x"), (1, None, None, "y"), (None, "!! | | | | |", (2,), "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` struct<`x y`: int>, kept string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "doc_id long, quality int")
+    got = quality.judge(docs, quality.train(docs, labels))
+    assert got.schema["a.b"].dataType == docs.schema["a.b"].dataType and got.count() == 3
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["kept"]) for r in got.collect()) == [(0, 6, False), (1, 0, False), (1, 22, False)]
+
+
+def test_runs_of_long_texts():
+    """A text of many lines trains as runs of neighbours: every line counts."""
+    rng = np.random.default_rng(9)
+    good, bad = rng.normal(1, 0.1, (200, quality.N_FEATURES)), rng.normal(-1, 0.1, (200, quality.N_FEATURES))
+    good[150:] = bad[:50]  # the last quarter is boilerplate
+    field = quality.LineField().fit([(good, np.ones(200, int), 1), (bad, np.ones(200, int), 0)])
+    assert field.viterbi(good).tolist() == [1] * 150 + [0] * 50

@@ -5,9 +5,12 @@ linear-chain conditional random field labels every line with words as content
 or boilerplate (Viterbi decoding); a document stays if enough of its words
 stand in content lines.
 
-The field is trained by stochastic gradient on the log-likelihood, from a
-bounded sample of documents with a quality label, whose lines all take the
-document's label.
+The field is trained by gradient on the log-likelihood, from a bounded sample
+of documents with a quality label.  Labels of lines are not known; they are
+found by turns (hard EM): a first field without transitions tells lines apart
+by their document's label; then every line takes its label in the best
+labelling, but so that the document's share of content agrees with its label,
+and the field, transitions included, is fitted to those.
 """
 
 from __future__ import annotations
@@ -19,13 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm.common import columns
 
 #: Bound of the training sample, in labelled documents.
 SAMPLE_DOCS = 3000
-#: Lines of a training document that enter the gradient, evenly spaced in order.
-SAMPLE_LINES = 60
+#: Training texts of more lines are taken as several runs of so many neighbouring lines.
+RUN_LINES = 64
 CONTENT_SHARE = 0.5
 LEAST_WORDS = 10
 WINDOW = 5
@@ -170,80 +174,109 @@ class LineField:
             labels[i] = at
         return labels
 
-    def gradient(self, rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Of the log-likelihood of one labelled sequence, by forward and backward sums."""
-        unit, n = rows @ self.weights.T, len(rows)
-        ahead, behind = np.zeros((n, 2)), np.zeros((n, 2))
-        ahead[0] = unit[0]
-        for i in range(1, n):
-            ahead[i] = unit[i] + np.logaddexp(ahead[i - 1, 0] + self.moves[0], ahead[i - 1, 1] + self.moves[1])
-        for i in range(n - 2, -1, -1):
-            t = unit[i + 1] + behind[i + 1]
-            behind[i] = np.logaddexp(self.moves[:, 0] + t[0], self.moves[:, 1] + t[1])
-        log_z = np.logaddexp(*ahead[-1])
-        own = np.exp(ahead + behind - log_z)
-        truth = np.eye(2)[labels]
+    def gradient(self, rows: np.ndarray, labels: np.ndarray, sizes: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Of the scaled log-likelihood of labelled sequences, padded to one length, by forward and backward sums."""
+        n, longest, _ = rows.shape
+        unit = rows @ self.weights.T
+        ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
+        ahead[:, 0] = unit[:, 0]
+        for i in range(1, longest):
+            before = ahead[:, i - 1, :, None] + self.moves
+            ahead[:, i] = unit[:, i] + np.logaddexp(before[:, 0], before[:, 1])
+        for i in range(longest - 2, -1, -1):
+            after = self.moves + (unit[:, i + 1] + behind[:, i + 1])[:, None, :]
+            behind[:, i] = np.where((i + 1 < sizes)[:, None], np.logaddexp(after[:, :, 0], after[:, :, 1]), 0.0)
+        each, inside = np.arange(n), np.arange(longest) < sizes[:, None]
+        log_z = np.logaddexp(*ahead[each, sizes - 1].T)
+        own = np.exp(ahead + behind - log_z[:, None, None]) * inside[:, :, None]
+        truth = np.eye(2)[labels] * inside[:, :, None]
+        gold = (unit * truth).sum((1, 2))
         moved = np.zeros((2, 2))
-        gold = unit[np.arange(n), labels].sum()
-        if n > 1:
-            pair = np.exp(ahead[:-1, :, None] + self.moves[None] + (unit + behind)[1:, None, :] - log_z)
-            np.add.at(moved, (labels[:-1], labels[1:]), 1)
-            gold += self.moves[labels[:-1], labels[1:]].sum()
-            moved -= pair.sum(0)
-        return (truth - own).T @ rows, moved, float(gold - log_z)
-
-    def fit(self, sequences: list[tuple[np.ndarray, int]], epochs: int = 12, rate: float = 0.5, decay: float = 1e-3) -> LineField:
-        """Adaptive gradient steps over batches of sequences, classes given equal weight."""
-        random = np.random.default_rng(7)
-        of = [sum(y == k for _, y in sequences) for k in (0, 1)]
+        if longest > 1:
+            both = inside[:, 1:, None, None]
+            pair = np.exp(np.where(both, ahead[:, :-1, :, None] + self.moves + (unit + behind)[:, 1:, None, :] - log_z[:, None, None, None], -np.inf))
+            seen = truth[:, :-1, :, None] * truth[:, 1:, None, :]
+            gold += (seen * self.moves).sum((1, 2, 3))
+            moved = np.einsum("n,ntij->ij", scale, seen - pair)
+        return np.einsum("n,ntk,ntf->kf", scale, truth - own, rows), moved, float(scale @ (gold - log_z))
+
+    def _ascend(self, rows: np.ndarray, labels: np.ndarray, sizes: np.ndarray, scale: np.ndarray, moves: bool, steps: int = 120, rate: float = 0.3, decay: float = 1e-3) -> None:
+        """Adaptive gradient steps."""
+        lines = float(scale @ sizes)
+        sums = [np.full(self.weights.shape, 1e-8), np.full(self.moves.shape, 1e-8)]
+        for _ in range(steps):
+            g_w, g_m, _ = self.gradient(rows, labels, sizes, scale)
+            for p, g, s in ((self.weights, g_w, sums[0]), (self.moves, g_m, sums[1]))[: 1 + moves]:
+                g = g / lines - decay * p
+                s += g * g
+                p += rate * g / np.sqrt(s)
+
+    def lines_of(self, rows: np.ndarray, words: np.ndarray, label: int) -> np.ndarray:
+        """The best labelling whose share of content agrees with the document's label; the least certain lines give way."""
+        labels = self.viterbi(rows)
+        margin = (rows @ (self.weights[1] - self.weights[0])) * (1 if label else -1)
+        wrong = np.flatnonzero(labels != label)
+        for i in wrong[np.argsort(-margin[wrong], kind="stable")].tolist():
+            content = words[labels == 1].sum()
+            if (content >= CONTENT_SHARE * words.sum()) == bool(label):
+                break
+            labels[i] = label
+        return labels
+
+    def fit(self, documents: list[tuple[np.ndarray, np.ndarray, int]], turns: int = 2) -> LineField:
+        """From features and words of the lines, and the label, of each document; both labels have equal weight."""
+        of = [sum(y == k for *_, y in documents) for k in (0, 1)]
         if not all(of):
             return self
-        scale = [len(sequences) / (2 * k) for k in of]
-        sums = [np.full(self.weights.shape, 1e-8), np.full(self.moves.shape, 1e-8)]
-        for _ in range(epochs):
-            order = random.permutation(len(sequences))
-            for start in range(0, len(order), 32):
-                g_w, g_m, lines = np.zeros_like(self.weights), np.zeros_like(self.moves), 0.0
-                for i in order[start : start + 32]:
-                    rows, y = sequences[i]
-                    a, b, _ = self.gradient(rows, np.full(len(rows), y))
-                    g_w, g_m, lines = g_w + scale[y] * a, g_m + scale[y] * b, lines + scale[y] * len(rows)
-                for p, g, s in ((self.weights, g_w / lines, sums[0]), (self.moves, g_m / lines, sums[1])):
-                    g = g - decay * p
-                    s += g * g
-                    p += rate * g / np.sqrt(s)
+        runs = [(d, at, min(RUN_LINES, len(rows) - at)) for d, (rows, _, _) in enumerate(documents) for at in range(0, len(rows), RUN_LINES)]
+        sizes = np.array([n for *_, n in runs])
+        scale = np.array([len(documents) / (2 * of[documents[d][2]]) for d, *_ in runs])
+        rows = np.zeros((len(runs), sizes.max(), N_FEATURES))
+        for k, (d, at, n) in enumerate(runs):
+            rows[k, :n] = documents[d][0][at : at + n]
+        for turn in range(turns):
+            labels = np.zeros(rows.shape[:2], int)
+            found = [np.full(len(x), y) if not turn else self.lines_of(x, words, y) for x, words, y in documents]
+            for k, (d, at, n) in enumerate(runs):
+                labels[k, :n] = found[d][at : at + n]
+            self._ascend(rows, labels, sizes, scale, moves=turn > 0)
         return self
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> LineField:
     """A field from a bounded sample (by a hash of the id) of labelled documents that pass the base rules.
 
-    ``labels``: id, quality (0 or 1; other values and nulls are left out).
-    Without documents of both kinds the weights are zero, and every line is content.
+    ``labels``: id, quality (0 or 1; other values, nulls and ids with both are
+    left out).  Of rows with one id, equal texts count once.  Without documents
+    of both kinds the weights are zero, and every line is content.
     """
-    known = labels.where("quality in (0, 1)").select(F.col(id_col).alias("_l"), F.col("quality").cast("int").alias("_y")).dropDuplicates(["_l"])
+    named = lambda c: F.col(f"`{c}`")
+    known = labels.where("quality in (0, 1)").groupBy(named(id_col).alias("_l")).agg(F.min("quality").cast("int").alias("_y"), F.max("quality").cast("int").alias("_z"))
+    known = known.where("_y = _z and _l is not null").select("_l", "_y")
     # the smallest hashes of either kind: a top-k over the labels, whatever their number
     kinds = [known.where(F.col("_y") == y).orderBy(F.xxhash64("_l"), "_l").limit(sample_docs // 2) for y in (0, 1)]
     sample = kinds[0].unionByName(kinds[1])
-    texts = docs.select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(sample), F.col("_d") == F.col("_l"))
+    texts = docs.select(named(id_col).alias("_d"), named(text_col).cast("string").alias("_t")).join(F.broadcast(sample), F.col("_d") == F.col("_l"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ys, rows = [], [], []
-            for key, y, text in columns(batch, "_d", "_y", "_t"):
+            keys, ys, rows, words = [], [], [], []
+            for key, y, text in columns(batch, "_k", "_y", "_t"):
                 c = count(text)
                 if c.failed or not c.lines:
                     continue
-                pick = np.unique(np.linspace(0, len(c.lines) - 1, min(len(c.lines), SAMPLE_LINES)).astype(int))
-                f, _ = features([c.lines[i] for i in pick], [c.again[i] for i in pick])
+                f, w = features(c.lines, c.again)
                 keys.append(key)
                 ys.append(y)
                 rows.append(f.ravel().tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ys, pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["k", "y", "f"])
+                words.append(w.tolist())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.string()), pa.array(ys, pa.int32()), pa.array(rows, pa.list_(pa.float64())), pa.array(words, pa.list_(pa.int64()))], names=["k", "y", "f", "w"]
+            )
 
-    found = texts.select(F.col("_d").cast("long").alias("_d"), "_y", "_t").mapInArrow(run, "k long, y int, f array<double>").collect()
-    found.sort(key=lambda r: (r["k"], r["y"], r["f"]))
-    return LineField().fit([(np.array(r["f"]).reshape(-1, N_FEATURES), r["y"]) for r in found])
+    found = texts.select(F.sha2("_t", 256).alias("_k"), "_y", "_t").mapInArrow(run, "k string, y int, f array<double>, w array<long>").collect()
+    by_text = {(r["k"], r["y"]): (np.array(r["f"]).reshape(-1, N_FEATURES), np.array(r["w"]), r["y"]) for r in found}
+    return LineField().fit([by_text[k] for k in sorted(by_text)])
 
 
 def judge(docs: DataFrame, model: LineField, text_col: str = "text", share: float = CONTENT_SHARE) -> DataFrame:
@@ -277,7 +310,7 @@ def judge(docs: DataFrame, model: LineField, text_col: str = "text", share: floa
                 own = [batch.column(batch.schema.get_field_index(f"_k{i}")) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, k) for v, k in zip(cols, kinds, strict=True))], names=[*(f"_k{i}" for i in range(len(keep))), *made])
 
-    named = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("_text"))
-    fields = ", ".join(f"_k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = named.mapInArrow(run, f"{fields}, {_OUT}" if fields else _OUT)
+    named = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("_text"))
+    schema = T.StructType([T.StructField(f"_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)] + T._parse_datatype_string(_OUT).fields)
+    out = named.mapInArrow(run, schema)
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *made)
