@@ -18,8 +18,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+    # staged, so that this is a plain join of two exchanges, which the adaptive planner splits at a node of many edges
+    joined = both.join(staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least"), "u")
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

@@ -2,12 +2,16 @@
 
 1. Every text gets a label of ``depth`` MinHash values in each of ``trees``
    trees.  Texts with the same words are one class from here on.
-2. In a sorted tree, texts below one prefix lie together.  Prefixes start at
-   full labels and are shortened until a pair at the threshold meets in some
-   tree with the target recall; texts below one prefix of that length form a
-   bucket.  A bucket with more than ``block`` members is dealt into blocks,
-   and every two blocks meet in one group.
-3. In a group, signatures tell which members may be similar; what hangs
+2. The labels of a tree, sorted, are a prefix trie: what shares a prefix lies
+   together, and the common prefixes of neighbours tell the trie's nodes.  A
+   text starts at its full label and is matched with ever shorter prefixes
+   until a pair as far apart as its own pairs can be meets in some tree with
+   the target recall.  How far that is depends on the text: one of three
+   n-grams has no pair at 0.8 but equal ones, and stops at the full label.  No
+   text goes below the prefix that the threshold itself asks for; by that one
+   the tries are dealt out.  A node with more than ``block`` texts is dealt
+   into blocks, and every two blocks meet in one group.
+3. In a node, signatures tell which members may be similar; what hangs
    together there becomes edges to one member, at most one per member.
 4. Components of those edges are verified on the words themselves: shared
    n-grams are counted block by block, every pair of texts in a component is
@@ -20,11 +24,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm.common import columns, staged
 from tidelog.llm.graph import components
@@ -51,6 +57,21 @@ def prefix_length(similarity: float, trees: int = TREES, depth: int = DEPTH, rec
     return length
 
 
+@cache
+def nearest(grams: int, similarity: float) -> float:
+    """The smallest similarity, at the threshold or above, that two different sets can have, one of them of at most ``grams`` elements."""
+    limit, best = Fraction(similarity).limit_denominator(10**6), Fraction(1)
+    if grams >= 64:
+        return float(limit)
+    for size in range(1, grams + 1):
+        for more in range(size):
+            for less in range(size):
+                found = Fraction(size - less, size + more)
+                if limit <= found:
+                    best = min(best, found)
+    return float(best)
+
+
 class Signer:
     """MinHash values of many texts, as big-endian 32-bit integers, tree by tree."""
 
@@ -73,33 +94,40 @@ class Signer:
         return out, words
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str, window: int, trees: int, depth: int) -> DataFrame:
-    """_id, key (of the words), words, labels (null without words)."""
+_SIGNED = T.StructType().add("_id", "long").add("row", "long").add("key", "binary").add("words", "long").add("labels", "binary")
+
+
+def sign(docs: DataFrame, id_col: str, text_col: str, window: int, trees: int, depth: int, carry: bool = False) -> DataFrame:
+    """_id, row (a number of its own), key (of the words), words, labels (null without words); ``carry``: and the columns of ``docs``, as _c0, _c1, ..."""
+    values = trees * depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer(trees * depth)
+        from pyspark import TaskContext
+
+        signer, row = Signer(values), TaskContext.get().partitionId() << 40
 
-        def of(ids: list, texts: list[str]) -> pa.RecordBatch:
+        def of(part: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
             labels, words = signer.sign(texts, window)
             keys = [hashlib.blake2b(b" ".join(t.encode().split()), digest_size=16).digest() for t in texts]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(words.tolist(), pa.int64()), pa.array(labels, pa.binary())], names=["_id", "key", "words", "labels"]
-            )
+            made = [part.column(0), pa.array(range(row, row + len(texts)), pa.int64()), pa.array(keys, pa.binary()), pa.array(words.tolist(), pa.int64()), pa.array(labels, pa.binary())]
+            return pa.RecordBatch.from_arrays([*made, *part.columns[2:]], names=[*_SIGNED.names, *part.schema.names[2:]])
 
-        ids, texts, size = [], [], 0
         for batch in batches:
-            for ident, text in columns(batch, "_id", "_text"):
-                ids.append(ident)
+            start, texts, size = 0, [], 0
+            for (text,) in columns(batch, "_text"):
                 texts.append(text or "")
                 size += len(texts[-1])
                 if size > 4 * _CHUNK:
-                    yield of(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield of(ids, texts)
+                    yield of(batch.slice(start, len(texts)), texts)
+                    row, start, texts, size = row + len(texts), start + len(texts), [], 0
+            if texts:
+                yield of(batch.slice(start), texts)
+                row += len(texts)
 
-    named = docs.selectExpr(f"cast(`{id_col}` as long) as _id", f"cast(`{text_col}` as string) as _text")
-    return named.mapInArrow(run, "_id long, key binary, words long, labels binary")
+    named = [F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")]
+    kept = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)] if carry else []
+    fields = [T.StructField(f"_c{i}", docs.schema[c].dataType) for i, c in enumerate(docs.columns)] if carry else []
+    return docs.select(*named, *kept).mapInArrow(run, T.StructType(_SIGNED.fields + fields))
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
@@ -131,6 +159,19 @@ def _likely_stars(signatures: np.ndarray, least: int) -> list[int]:
     return first
 
 
+def _trie_stars(labels: np.ndarray, signatures: np.ndarray, stops: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+    """Pairs (member, first of its part) from one part of a trie; ``labels`` are sorted, ``stops`` the shortest prefix of each."""
+    shared = (labels[1:] == labels[:-1]).cumprod(1).sum(1)
+    for stop in sorted(set(stops.tolist()), reverse=True):  # from full labels up
+        edges = np.flatnonzero(np.concatenate([[True], shared < stop, [True]]))
+        for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = np.arange(first, last)[stops[first:last] <= stop]
+            if own.size > 1 and (stops[own] == stop).any():
+                for i, to in enumerate(_likely_stars(signatures[own], least)):
+                    if i != to:
+                        yield int(own[i]), int(own[to])
+
+
 def _blocks(members: DataFrame, group: str, n_blocks: Column, key: str = "key") -> DataFrame:
     """Members of a group with several blocks go to one place for each two blocks; adds ``place``, ``lo``, ``hi``, ``block``."""
     own = members.withColumn("_n", n_blocks).withColumn("block", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
@@ -197,67 +238,55 @@ def verify(texts: list[str], blocks: list[int], lo: int, hi: int, weights: list[
     return links, first
 
 
-def similar(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    window: int = WINDOW,
-    similarity: float = SIMILARITY,
-    trees: int = TREES,
-    depth: int = DEPTH,
-    recall: float = RECALL,
-    block: int = BLOCK,
-    block_ngrams: int = BLOCK_NGRAMS,
-    likely: Callable[[float], float] = lambda s: LIKELY * s,
-) -> DataFrame:
-    """id, class_id, copies, n_links for every row of ``docs``.
-
-    Two texts are linked when the Jaccard similarity of their sets of
-    ``window`` words (a shorter text: all its words) is at least
-    ``similarity``.  ``class_id`` is the smallest id that links reach, copies
-    included; ``copies`` counts the rows with the same words; ``n_links``
-    counts linked rows, copies among them.  A text without words, null or
-    empty, links to nothing: its class is its own id, its copies 1.  Ids are
-    integers; a null id takes part, but is no class id unless its class has no
-    other.  Repeated rows are copies.  Other columns are ignored.
-    """
-    signed = staged(sign(docs, id_col, text_col, window, trees, depth), "signatures")
-    classes = staged(
-        signed.where("words > 0").groupBy("key", "labels").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("words").alias("words")), "classes"
-    )
+def _forest_edges(classes: DataFrame, window: int, similarity: float, trees: int, depth: int, recall: float, block: int, least: int) -> DataFrame:
+    """a, b: keys of classes that may be similar, as stars."""
     length = prefix_length(similarity, trees, depth, recall)
-    in_trees = classes.select("key", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "labels").select(
-        F.expr(f"xxhash64(tree, substring(labels, tree * {4 * depth} + 1, {4 * length}))").alias("bucket"), "key"
+    stops = [prefix_length(nearest(g, similarity), trees, depth, recall) for g in range(1, 65)]
+    in_trees = classes.select("key", "words", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "labels").select(
+        F.expr(f"xxhash64(tree, substring(labels, tree * {4 * depth} + 1, {4 * length}))").alias("bucket"), "tree", "key", "words"
     )
     shared = in_trees.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     members = in_trees.join(shared, "bucket").join(classes.select("key", "labels"), "key")
-    dealt = _blocks(members, "bucket", F.ceil(F.col("m") / F.lit(block))).select("place", "key", "labels")
-    least = int(likely(similarity) * trees * depth)
+    members = members.withColumn("label", F.expr(f"substring(labels, tree * {4 * depth} + 1, {4 * depth})"))
+    dealt = _blocks(members, "bucket", F.ceil(F.col("m") / F.lit(block))).select("place", "label", "key", "labels", "words")
 
     def likely_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for rows in _by_group(batches, ["place", "key", "labels"]):
+        for rows in _by_group(batches, ["place", "label", "key", "labels", "words"]):
             if len(rows) < 2:
                 continue
-            values = np.frombuffer(b"".join(r[2] for r in rows), ">u4").reshape(len(rows), -1)
-            for i, to in enumerate(_likely_stars(values.astype(np.uint32), least)):
-                if i != to:
-                    a.append(rows[i][1])
-                    b.append(rows[to][1])
+            table = lambda k: np.frombuffer(b"".join(r[k] for r in rows), ">u4").reshape(len(rows), -1).astype(np.uint32)  # noqa: B023, E731
+            stop = np.array([stops[min(64, max(1, r[4] - window + 1)) - 1] for r in rows])
+            for i, to in _trie_stars(table(1), table(3), stop, least):
+                a.append(rows[i][2])
+                b.append(rows[to][2])
             if len(a) > _CHUNK:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    edges = dealt.repartition("place").sortWithinPartitions("place").mapInArrow(likely_edges, "a binary, b binary")
-    maybe = components(edges)
+    return dealt.repartition("place").sortWithinPartitions("place", "label").mapInArrow(likely_edges, "a binary, b binary")
+
+
+def _links(out: list[tuple]) -> pa.RecordBatch:
+    k, n, r = zip(*out, strict=True) if out else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(r, pa.binary())], names=["key", "links", "a"])
+
 
-    sized = maybe.join(classes.select(F.col("key").alias("node"), "rep", "copies", "words"), "node")
-    sums = sized.groupBy("root").agg(F.sum("words").alias("all_words"))
-    wanted = sized.join(sums, "root").select(F.col("node").alias("key"), "root", "rep", "copies", "all_words")
-    texts = docs.selectExpr(f"cast(`{id_col}` as long) as _id", f"cast(`{text_col}` as string) as text")
-    found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("rep")))
-    places = _blocks(found, "root", F.ceil(F.col("all_words") / F.lit(block_ngrams))).select("place", "key", "block", "lo", "hi", "copies", "text")
+def _facts(docs: DataFrame, signed: DataFrame, id_col: str, text_col: str, window: int, similarity: float, trees: int, depth: int, recall: float, block: int, block_ngrams: int, likely) -> DataFrame:
+    """key, class_id, stay (the row that stands for the class), copies, links, for every key with words."""
+    stands = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "row"))
+    classes = signed.where("words > 0").groupBy("key", "labels").agg(stands.alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("words").alias("words"))
+    classes = staged(classes, "classes")
+    maybe = components(_forest_edges(classes, window, similarity, trees, depth, recall, block, int(likely(similarity) * trees * depth)))
+
+    sized = maybe.join(classes.select(F.col("key").alias("node"), F.col("rep.id").alias("id"), "copies", "words"), "node")
+    sums = sized.groupBy("root").agg(F.sum("words").alias("all_words"), F.count(F.lit(1)).alias("all_texts"))
+    wanted = sized.join(sums, "root").select(F.col("node").alias("key"), "root", "id", "copies", "all_words", "all_texts")
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    found = texts.join(wanted, F.col("_id").eqNullSafe(F.col("id")))
+    n_blocks = F.greatest(F.ceil(F.col("all_words") / F.lit(block_ngrams)), F.ceil(F.col("all_texts") / F.lit(block)))
+    places = _blocks(found, "root", n_blocks).select("place", "key", "block", "lo", "hi", "copies", "text")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -276,18 +305,43 @@ def similar(
                 out = []
         yield _links(out)
 
-    def _links(out: list[tuple]) -> pa.RecordBatch:
-        k, n, r = zip(*out, strict=True) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(n, pa.int64()), pa.array(r, pa.binary())], names=["key", "links", "a"])
-
     checked = staged(places.repartition("place").sortWithinPartitions("place").mapInArrow(verified, "key binary, links long, a binary"), "links")
     roots = components(checked.select("a", F.col("key").alias("b")))
     links = checked.groupBy("key").agg(F.sum("links").alias("links"))
-
     named = classes.select("key", "rep", "copies").join(roots.select(F.col("node").alias("key"), "root"), "key", "left").join(links, "key", "left")
     named = named.withColumn("root", F.coalesce("root", "key"))
-    least_id = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    facts = named.join(least_id, "root").select("key", "class_id", F.col("copies").alias("_copies"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_links"))
+    least = named.groupBy("root").agg(F.min("rep").alias("first"))
+    return named.join(least, "root").select("key", F.col("first.id").alias("class_id"), F.col("first.row").alias("stay"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def similar(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    similarity: float = SIMILARITY,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    recall: float = RECALL,
+    block: int = BLOCK,
+    block_ngrams: int = BLOCK_NGRAMS,
+    likely: Callable[[float], float] = lambda s: LIKELY * s,
+) -> DataFrame:
+    """id, class_id, copies, n_links for every row of ``docs``.
+
+    Two texts are linked when the Jaccard similarity of their sets of
+    ``window`` words (a shorter text: all its words) is at least
+    ``similarity``.  ``class_id`` is the smallest id that links reach, copies
+    included; ``copies`` counts the rows with the same words; ``n_links``
+    counts linked rows, copies among them.  A text without words, null or
+    empty, links to nothing: its class is its own id, its copies 1.  Ids are
+    integers; a null id takes part, but is no class id unless its class has no
+    other.  Repeated rows are copies.  Other columns are ignored, whatever
+    their names; an empty table gives no rows.
+    """
+    signed = staged(sign(docs, id_col, text_col, window, trees, depth), "signatures")
+    facts = _facts(docs, signed, id_col, text_col, window, similarity, trees, depth, recall, block, block_ngrams, likely)
+    facts = facts.select("key", "class_id", F.col("copies").alias("_copies"), (F.col("copies") - 1 + F.col("links")).alias("_links"))
     out = signed.select("_id", "key", "words").join(facts, "key", "left")
     empty = F.col("words") == 0
     return out.select(
@@ -296,3 +350,28 @@ def similar(
         F.when(empty, F.lit(1)).otherwise(F.col("_copies")).cast("long").alias("copies"),
         F.when(empty, F.lit(0)).otherwise(F.col("_links")).cast("long").alias("n_links"),
     )
+
+
+def without_near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    similarity: float = SIMILARITY,
+    trees: int = TREES,
+    depth: int = DEPTH,
+    recall: float = RECALL,
+    block: int = BLOCK,
+    block_ngrams: int = BLOCK_NGRAMS,
+    likely: Callable[[float], float] = lambda s: LIKELY * s,
+) -> DataFrame:
+    """Of every class of ``similar`` one row, with all columns: that of the smallest id (nulls last).
+
+    Of rows with that id, the first read stays.  Texts without words all stay.
+    Rows are told apart as rows, not by their ids, which may be repeated.
+    """
+    signed = staged(sign(docs, id_col, text_col, window, trees, depth, carry=True), "signatures")
+    facts = _facts(docs, signed, id_col, text_col, window, similarity, trees, depth, recall, block, block_ngrams, likely)
+    stay = facts.select(F.col("stay").alias("row")).distinct()
+    kept = signed.where("words > 0").join(stay, "row", "left_semi").unionByName(signed.where("words = 0"), allowMissingColumns=True)
+    return kept.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])
