@@ -124,3 +124,20 @@ def test_mixed_rows(spark):
     assert words == sum(r["taken"] for r in plan)
     one = spark.createDataFrame([("  a b\n\tc  d ",)], "t string")
     assert [one.select(first_words(F.col("t"), F.lit(n)).alias("x")).first()["x"] for n in (1, 3)] == ["  a", "  a b\n\tc"]
+
+
+def test_mixed_rows_with_repeats_and_clashes(spark):
+    """A repeated id with different texts, sources or other columns: every row takes its own share."""
+    rows = [(i, f"t{i} a b c", "s", "o", 1) for i in range(30)] + [(5, "other text of five", "s", "o", 1), (5, "t5 a b c", "s", "p", 2), (5, "t5 a b c", "z", "q", 3), (None, "n n n", None, None, 4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, _size string, `_id.x` int").withColumn("size", F.lit("own")).withColumn("_hash", F.lit("own"))
+    plan, got = mix(d).collect(), mixed_rows(d)
+    assert got.schema.names == d.schema.names and {(r["size"], r["_hash"]) for r in got.collect()} == {("own", "own")}
+    taken = defaultdict(int)
+    for r in got.collect():
+        taken[r["doc_id"], r["source"]] += len(r["text"].split())
+    want = defaultdict(int)
+    for r in plan:
+        want[r["doc_id"], r["source"]] += r["taken"]
+    assert taken == {k: v for k, v in want.items() if v}
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixed_rows(d.repartition(3)).collect()))
+    assert mixed_rows(d.where("false")).count() == 0

@@ -77,16 +77,25 @@ def mix(
     ``epochs`` whole copies and the first ``part`` words of one more are
     taken; ``taken = epochs * size + part``.  A null text has size 0, a null
     source is a source of its own, null ids share one random number.  Equal
-    keys go by id, then size (larger first), so that reruns agree; repeated
-    rows are rows of their own.  Empty table: no rows.  Other columns are
-    ignored.
+    keys go by id, then size (larger first), then a hash of the text, so that
+    reruns agree; repeated rows are rows of their own.  Empty table: no rows.
+    Other columns are ignored, whatever their names.
     """
-    unit = (F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+    plan = _plan(docs, id_col, text_col, source_col, weights, share, most, buckets)
+    taken = F.col("epochs") * F.col("size") + F.col("part")
+    return plan.select(F.col("_id").alias(id_col), "source", "size", "source_size", "target", "epochs", "part", taken.alias("taken"))
+
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, buckets: int = BUCKETS) -> DataFrame:
+    """_id, source, size, _hash (of the text), source_size, target, epochs, part for every row."""
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    unit = (F.conv(F.substring(F.md5(F.coalesce(ident.cast("string"), F.lit(""))), 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
     sized = docs.select(
-        F.col(id_col).alias("_id"),
-        F.col(source_col).alias("source"),
-        word_count(F.col(text_col)).alias("size"),
-        (-F.log(unit) / quality(F.col(text_col))).alias("_key"),
+        ident.alias("_id"),
+        F.col(f"`{source_col}`").alias("source"),
+        word_count(text).alias("size"),
+        F.xxhash64(text).alias("_hash"),
+        (-F.log(unit) / quality(text)).alias("_key"),
     )
     sized = staged(sized.withColumn("_bucket", F.least(F.floor(F.exp(-F.col("_key")) * buckets), F.lit(buckets - 1)).cast("int")), "mix-sizes")
 
@@ -103,15 +112,12 @@ def mix(
         "target",
         F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(F.lit(0)).cast("long").alias("epochs"),
     )
-    within = Window.partitionBy("source", "_bucket").orderBy("_key", F.asc_nulls_last("_id"), F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "_bucket").orderBy("_key", F.asc_nulls_last("_id"), F.desc("size"), "_hash").rowsBetween(Window.unboundedPreceding, -1)
     ordered = sized.withColumn("_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rest = F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + F.lit(0.5)).cast("long")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("_offset") - F.col("_before")))
     out = ordered.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    out = out.withColumn("part", part)
-    return out.select(
-        F.col("_id").alias(id_col), "source", "size", "source_size", "target", "epochs", "part", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken")
-    )
+    return out.select("_id", "source", "size", "_hash", "source_size", "target", "epochs", part.alias("part"))
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -123,25 +129,29 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: ``docs`` with rows repeated, dropped and, one in a source, cut.
 
-    Columns are those of ``docs``.  Rows with the same id are interchangeable
-    here: ids should be unique (a repeated id is taken as often as its rows
-    are, added up row by row).
+    Columns are those of ``docs``, whatever their names.  Rows that agree in
+    id, source and text take what is taken of them together, in an order by
+    their other columns; only they are numbered in a window.
     """
-    plan = mix(docs, id_col, text_col, source_col, **options)
-    per = plan.groupBy(F.col(id_col).alias("_pid"), F.col("size").alias("_psize")).agg(
-        F.sum("epochs").alias("_e"), F.sum("part").alias("_p"), F.count(F.lit(1)).alias("_rows")
-    )
-    rows = docs.withColumn("_size", word_count(F.col(text_col)))
-    nth = F.row_number().over(Window.partitionBy(id_col, "_size").orderBy(F.lit(1)))
-    rows = rows.withColumn("_nth", nth)
-    rows = rows.join(per, F.col(id_col).eqNullSafe(F.col("_pid")) & (F.col("_size") == F.col("_psize")))
-    epochs = F.expr("_e div _rows").cast("int")
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("_size"), F.col("_p") - (F.col("_nth") - 1) * F.col("_size")))
-    rows = rows.withColumn("_epochs", epochs).withColumn("_part", part)
+    keys = ["_id", "source", "size", "_hash"]
+    per = _plan(docs, id_col, text_col, source_col, **options).groupBy(*keys).agg(F.first("epochs").alias("_epochs"), F.sum("part").alias("_p"), F.count(F.lit(1)).alias("_rows"))
+    per = per.select(*[F.col(k).alias(f"_of{k}") for k in keys], "_epochs", "_p", "_rows").where("_epochs > 0 or _p > 0")
+    text = F.col(f"`{text_col}`").cast("string")
+    own = [F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("_hash")]
+    rows = docs.select(*own, *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns)])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of{k}"))
+    rows = rows.join(per, same)
+    order = Window.partitionBy(*keys).orderBy(F.xxhash64(*[f"_c{i}" for i in range(len(docs.columns))]))
+    rows = rows.where("_rows = 1").withColumn("_nth", F.lit(1)).unionByName(rows.where("_rows > 1").withColumn("_nth", F.row_number().over(order)))
+    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_p") - (F.col("_nth") - 1) * F.col("size")))
+    rows = rows.withColumn("_part", part)
     # a whole last copy counts as an epoch; a cut one is its own row
-    copies = F.col("_epochs") + F.when((F.col("_part") == F.col("_size")) & (F.col("_size") > 0), 1).otherwise(0)
-    cut = (F.col("_part") > 0) & (F.col("_part") < F.col("_size"))
+    copies = (F.col("_epochs") + F.when((F.col("_part") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).cast("int")
+    cut = (F.col("_part") > 0) & (F.col("_part") < F.col("size"))
     pieces = F.flatten(F.array(F.array_repeat(F.lit(-1).cast("long"), copies), F.when(cut, F.array(F.col("_part"))).otherwise(F.array().cast("array<bigint>"))))
     out = rows.withColumn("_piece", F.explode(pieces))
-    text = F.when(F.col("_piece") < 0, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_piece")))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    at = {c: F.col(f"_c{i}") for i, c in enumerate(docs.columns)}
+    taken = F.when(F.col("_piece") < 0, at[text_col]).otherwise(first_words(at[text_col].cast("string"), F.col("_piece")))
+    return out.select(*[(taken if c == text_col else own).alias(c) for c, own in at.items()])
