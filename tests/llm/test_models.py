@@ -44,6 +44,18 @@ def test_languages(spark, docs):
     assert langid.predict(docs.where("false"), model).count() == 0
 
 
+def test_language_rows(spark):
+    """Copies weigh once, a language of one long text is learned, and names may clash."""
+    rows = [(i, sentence(random.Random(i), "xx", 60), "xx") for i in range(40)] + [(100 + i, sentence(random.Random(99), "yy", 3000), "yy") for i in range(30)]
+    d = spark.createDataFrame([(*r, "own", "own", 1) for r in rows], "doc_id long, text string, lang string, lang_pred string, draw string, `a b` int")
+    model = langid.train(d, sample_bytes=500)
+    assert model.langs == ["xx", "yy"]
+    assert np.array_equal(model.bits, langid.train(d.unionAll(d), sample_bytes=500).bits)
+    got = langid.predict(d, model, extra=("lang_pred", "a b"))
+    assert got.columns == ["doc_id", "a b", "lang_pred", "score"]
+    assert all(r["lang_pred"] == ("xx" if r["doc_id"] < 100 else "yy") for r in got.collect())
+
+
 def test_code_lengths():
     """Against a direct walk from the longest context down, with exclusion."""
     texts = {"a": ["abracadabra abra", "cadabra bar"], "b": ["banana band", "bandana nab"]}

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm.common import columns
 
@@ -188,14 +189,19 @@ class Ppm:
 
 
 def train(labelled: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> Ppm:
-    """Trees from a bounded sample (by a hash of the text) of ``lang, text`` rows, about ``sample_bytes`` per language."""
-    known = labelled.where("lang is not null and text is not null").select("lang", "text")
-    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes")).collect()
-    if not sizes:
-        return Ppm([], order)
-    share = known.sparkSession.createDataFrame([(r["lang"], min(1.0, sample_bytes / max(1, r["bytes"]))) for r in sizes], "lang string, share double")
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.join(F.broadcast(share), "lang").where(draw < F.col("share"))  # one row per language
+    """Trees from a bounded sample of ``lang, text`` rows, about ``sample_bytes`` per language.
+
+    Every different text of a language counts once.  Texts are drawn by a hash
+    of the text; that with the smallest hash is always drawn, so that no
+    language comes away empty.  Null languages and texts are left out; repeated
+    rows, their order and other columns do not matter; of an empty table the
+    model knows no language.
+    """
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    known = labelled.where("lang is not null and text is not null").select("lang", F.col("text").cast("string").alias("text")).withColumn("draw", draw)
+    different = known.groupBy("lang", "draw", F.octet_length("text").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
+    share = different.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.lit(1), F.sum("n"))).alias("share"), F.min("draw").alias("least"))
+    sample = known.join(share, "lang").where((F.col("draw") < F.col("share")) | (F.col("draw") == F.col("least"))).dropDuplicates(["lang", "draw", "text"])
     return Ppm([tuple(r) for r in count_grams(sample, order).collect()], order)
 
 
@@ -208,10 +214,13 @@ def predict(docs: DataFrame, model: Ppm, id_col: str = "doc_id", text_col: str =
 
     A text that is null or has no letter, or a model without languages, gives
     ``und`` and score 0.  The score is the winner's share of probability
-    among the languages, equal before seeing the text.
+    among the languages, equal before seeing the text; of languages with equal
+    code lengths the first by name wins.  Ids may be null or repeated; rows are
+    judged one by one; an empty table gives no rows.  Of ``extra``, columns
+    named ``lang_pred`` and ``score`` are left out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # size: contexts x bytes x languages of the bounded sample
-    keep = [id_col, *extra]
+    keep = [id_col, *(c for c in extra if c not in ("lang_pred", "score"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = shared.value
@@ -221,9 +230,10 @@ def predict(docs: DataFrame, model: Ppm, id_col: str = "doc_id", text_col: str =
                 lang, score = ppm.predict(text)
                 names.append(lang)
                 scores.append(score)
-            own = [batch.column(batch.schema.get_field_index(f"_k{i}")) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
+            own = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(f"_k{i}" for i in range(len(keep))), "lang_pred", "score"])
 
-    named = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("_text"))
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return named.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    named = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("_text"))
+    schema = T.StructType([T.StructField(f"_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]).add("lang_pred", "string").add("score", "double")
+    found = named.mapInArrow(run, schema)
+    return found.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score")
