@@ -20,10 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` where the session has it; a folder of our own
-    only where that is unset, as in local tests.
+    only where that is unset and everything runs in one process, as in tests.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidelog-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
