@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm import ngram_join
 from tidelog.llm.common import new_path
 from tidelog.llm.exact_dedup import exact_dedup
 from tidelog.llm.mixing import mixed_rows
-from tidelog.llm.ngram_join import similar
 from tidelog.llm.packing import pack
 from tidelog.llm.quality import judge, train
 from tidelog.llm.tokens import added_tokens
@@ -43,10 +43,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links connect, the one with the smallest id."""
-    found = similar(docs)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """Of documents that links connect, the row with the smallest id."""
+    named, names = plainly_named(docs)
+    return as_before(ngram_join.without_near_copies(named, names["doc_id"], names["text"]), names)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
