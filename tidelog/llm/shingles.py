@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -54,7 +54,7 @@ def shingles(texts: list[str], window: int) -> tuple[np.ndarray, np.ndarray, np.
     parts = [t.encode() for t in texts]
     raw = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
     first = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    solid = ~_BLANK[raw]
+    solid = ~BLANK[raw]
     before = np.concatenate([[False], solid[:-1]]) if raw.size else solid
     starts = np.flatnonzero(solid & ~before)
     stops = np.flatnonzero(~solid & before)
