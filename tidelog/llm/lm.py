@@ -49,7 +49,7 @@ WORD_BYTES = 64
 BUCKET_GRAMS = 1 << 16
 _BITS, _END = 9, 257  # symbols: 0 before the start, byte + 1, end
 _MASK = (1 << _BITS) - 1
-_HELD = 1 << 20
+_HELD = 1 << 19
 
 
 def canonical(text: str | None) -> list[bytes]:

@@ -311,6 +311,8 @@ def judge(docs: DataFrame, model: LineField, text_col: str = "text", share: floa
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(v, k) for v, k in zip(cols, kinds, strict=True))], names=[*(f"_k{i}" for i in range(len(keep))), *made])
 
     named = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").cast("string").alias("_text"))
-    schema = T.StructType([T.StructField(f"_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)] + T._parse_datatype_string(_OUT).fields)
+    schema = T.StructType([T.StructField(f"_k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)])
+    for made_as in _OUT.split(", "):
+        schema = schema.add(*made_as.split())
     out = named.mapInArrow(run, schema)
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *made)
