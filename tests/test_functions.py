@@ -91,3 +91,26 @@ def test_sizes_and_lists(spark):
     assert [r["s"] for r in got] == ["1023b", "1Kb", "1Mb", "5Mb"]
     assert text.split_list("a, b ,c") == ["a", "b", "c"]
     assert spark.range(1).select(text.percent_full(F.lit(1), F.lit(0)).alias("p")).first()["p"] is None
+
+
+@given(st.binary(min_size=1, max_size=30_000), st.integers(0, 10**6))
+@settings(max_examples=60, deadline=None)
+def test_damage_ends_a_stream(raw, at):
+    """What comes before the damage stays."""
+    stored = codec.deflate(raw)
+    assert codec.inflate(stored) == raw
+    at %= len(stored)
+    assert raw.startswith(codec.inflate(stored[:at]))
+    whole = codec.deflate(raw) + codec.deflate(raw)
+    assert codec.inflate(whole + b"\xff" * 20)[: 2 * len(raw)] == raw + raw
+
+
+def test_file_names(spark):
+    d = spark.createDataFrame([("a/b ü",), ("",)], "s string")
+    got = d.select("s", codec.file_id(F.col("s"), F.lit("2024.01.01.05")).alias("id")).select("s", "id", codec.source_of_file(F.col("id")).alias("back"), codec.hour_of_file(F.col("id")).alias("h"))
+    assert all(r["back"] == r["s"] and r["h"] == "2024.01.01.05" and r["id"].count("/") == 1 for r in got.collect())
+
+
+def test_usage(spark):
+    d = spark.createDataFrame([("a", 1536, 4096), ("b", 7, 0), ("c", 3 << 20, 2 << 20)], "addr string, size long, limit long")
+    assert [r[0] for r in d.select(text.format_usage(F.col("addr"), F.col("size"), F.col("limit"))).collect()] == ["a 1Kb/4Kb 37.50%", "b 7b/0b -", "c 3Mb/2Mb 150.00%"]

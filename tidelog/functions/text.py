@@ -28,6 +28,13 @@ def percent_full(size: Column, limit: Column) -> Column:
     return F.try_divide(size.cast("double") * 100, limit.cast("double"))
 
 
+def format_usage(addr: Column, size: Column, limit: Column) -> Column:
+    """One line per host: address, size and limit, and how full it is; a limit of 0 has no percentage."""
+    full = percent_full(size, limit)
+    part = F.when(full.isNull(), F.lit("-")).otherwise(F.format_string("%.2f%%", full))
+    return F.concat(addr, F.lit(" "), format_size(size), F.lit("/"), format_size(limit), F.lit(" "), part)
+
+
 def split_list(text: str) -> list[str]:
     """Comma-separated items without the spaces around them."""
     return [x.strip(" ") for x in text.split(",")] if text else []
