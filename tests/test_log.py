@@ -3,14 +3,18 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tidelog.functions.codec import deflate
 from tidelog.operators import access, balance, coverage, merge, stats
 from tidelog.plans.query import LogQuery, any_of, per_query, query_table
 from tidelog.schema import HOUR_NS
+from tidelog.service import Refused, Service
 from tidelog.sources.federation import Federation
-from tidelog.sources.frames import parse_entries, read_frames, until_empty
+from tidelog.sources.frames import from_internal, parse_entries, read_entries, read_frames, until_empty
 from tidelog.sources.store import LogStore
+from tidelog.streaming.ingest import Planner
 
 H = HOUR_NS
 
@@ -204,3 +208,114 @@ def test_frames(spark, tmp_path):
     d = spark.createDataFrame([(1, "a"), (2, ""), (3, "b"), (4, "")], "n int, value string")
     assert [r["value"] for r in until_empty(d, "n").collect()] == ["a"]
     assert until_empty(d.where("n = 3"), "n").count() == 1
+
+
+def test_patterns_that_are_rows(spark):
+    entries = log(spark, [(5, 1, "Test", "m"), (6, 1, "tea", "m")])
+    schema = "start long, end long, min_severity int, max_severity int, source string"
+    asked = lambda *patterns: spark.createDataFrame([(0, 9, 0, 9, p) for p in patterns], schema)
+    assert query_table(entries, asked("(", "a++(", "(?=T)", None)).count() == 0
+    assert [r[0] for r in rows(query_table(entries, asked("(", "(?i)^te", "^T")))] == [5, 6]
+    assert [r[0] for r in rows(query_table(entries, asked("[[:upper:]]")))] == [5]
+
+
+def test_sizes_are_those_of_stored_messages(spark, tmp_path):
+    store = LogStore(spark, str(tmp_path / "s"))
+    long = "Long message" * 512
+    store.append(log(spark, [(1, 1, "src", long), (2, 1, "src", "x" * 512)]))
+    want = 2 * (35 + 3) + len(deflate(long.encode())) + 512
+    assert [r["bytes"] for r in store.size().collect()] == [want] and [r["size"] for r in store.chunks().collect()] == [want]
+    store.delete_chunk("src", H)
+    assert [r["bytes"] for r in store.size().collect()] == [want]
+
+
+def test_recovery(spark, tmp_path, monkeypatch):
+    store = LogStore(spark, str(tmp_path / "s"))
+    data = [(h * H + 1, 1, "a b/c", "m") for h in range(4)] + [(30 * H, 1, "a b/c", "m")]
+    store.append(log(spark, data))
+    assert store.recover() == 0
+    # the second step of a rewrite fails: the copy stays, and takes the partition's place later
+    with monkeypatch.context() as m:
+        m.setattr(LogStore, "_write", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            store.delete_chunk("a b/c", 2 * H)
+    assert rows(store.table()) == sorted(data)
+    assert LogStore(spark, store.path).recover() == 1
+    assert rows(store.table()) == sorted(r for r in data if r[0] // H != 2)
+    # the first step fails: what there is of the copy goes
+    (tmp_path / "s.staged" / "x" / "start=0" / "key=00").mkdir(parents=True)
+    assert store.recover() == 0 and not (tmp_path / "s.staged").exists()
+    assert rows(store.table()) == sorted(r for r in data if r[0] // H != 2)
+
+
+def test_chunks_that_move(spark, tmp_path):
+    """Against a choice made anew after every move."""
+    store = LogStore(spark, str(tmp_path / "s"))
+    data = [(h * H + i, 1, f"s{k}", "x" * ((h * 7 + k * 11) % 40)) for k in range(3) for h in range(1, 9) for i in range(1 + (h + k) % 3)]
+    store.append(log(spark, data))
+    sizes = {(r["source"], r["hour"]): r["size"] for r in store.chunks().collect()}
+    for budget in (0, 60, 150, 400, 10**6):
+        left, chunks, want = budget, dict(sizes), []
+        while left > 0:
+            first = {s: min(h for t, h in chunks if t == s) for s in {s for s, _ in chunks}}
+            fits = sorted((h, s) for s, h in first.items() if h < 8 * H and chunks[s, h] < left)
+            if not fits:
+                break
+            h, s = fits[0]
+            want.append((s, h, chunks[s, h]))
+            left -= chunks.pop((s, h))
+        assert list(store.next_chunks(budget, 8 * H + 5)) == want
+    with pytest.raises(StopIteration):
+        next(store.next_chunks(0, 8 * H))
+
+
+def test_service(spark, tmp_path):
+    admin, op = ("admin", "admin"), ("op", "key")
+    people = access.users(spark, [("admin", ["admin"], "admin"), ("op", ["instance"], "key"), ("all", [], "")])
+    logs = {a: Service(spark, LogStore(spark, str(tmp_path / a)), people, 1000) for a in "ab"}
+    hub = Service(spark, Federation({a: s.logs for a, s in logs.items()}), people, {"a": 1000, "b": 500})
+    data = [(h * H + 5, 3, f"s{h % 2}", "Long message" * (60 * (h % 2) + 1)) for h in range(1, 7)]
+    logs["a"].write(op, log(spark, data))
+    for call in (lambda: logs["a"].write(admin, log(spark, data)), lambda: hub.read(("all", ""), LogQuery(0, 9 * H)), lambda: hub.user(op[:1] + ("no",), "x"), lambda: hub.stat(("ghost", ""))):
+        with pytest.raises(Refused):
+            call()
+    with pytest.raises(TypeError):
+        hub.write(op, log(spark, data))
+    sent = logs["a"].internal_read(op, LogQuery(0, 9 * H))
+    assert {r["Enc"] for r in sent.collect()} == {0, 1} and rows(from_internal(sent)) == sorted(data)
+    assert logs["b"].accept(op, "s1", H, sent) and rows(logs["b"].logs.table()) == [data[0]]
+    assert [(r["addr"], r["limit"]) for r in hub.stat(admin).orderBy("addr").collect()] == [("a", 1000), ("b", 500)]
+    assert [(r["addr"], r["limit"]) for r in logs["b"].stat(admin).collect()] == [("", 1000)]
+    moved = logs["a"].transfer(op, 7, logs["b"], 10**6, op, now=100 * H)
+    assert len(moved) == 6 and logs["a"].heartbeat("a", 1).first()["last_transfer_id"] == 7
+    assert [r["ts"] for r in hub.read(admin, LogQuery(0, 9 * H)).collect()] == [r[0] for r in data]
+    for zero in ("0", 0, "0s"):
+        with pytest.raises(ValueError):
+            hub.truncate(admin, zero)
+    assert hub.truncate(admin, "-1h", " s0 ,nothing", now=5 * H) == 4 * H
+    assert rows(hub.read(admin, LogQuery(0, 9 * H))) == sorted(r for r in data if r[2] == "s1" or r[0] > 5 * H)
+    hub.user(admin, "new", ["reader"], "pw")
+    hub.password(("new", "pw"), "other")
+    assert hub.read(("new", "other"), LogQuery(0, 9 * H)).count() == 4
+    hub.user(admin, "new", delete=True)
+    with pytest.raises(Refused):
+        hub.read(("new", "other"), LogQuery(0, 9 * H))
+
+
+def test_files_of_entries(spark, tmp_path):
+    (tmp_path / "lines").write_text('{"Sev":1,"Src":"a","Msg":"x"}\n\nno\n{"src":"b","msg":"y"}\n')
+    assert sorted(tuple(r) for r in read_entries(spark, str(tmp_path / "lines")).collect()) == [(0, "b", "y"), (1, "a", "x")]
+
+
+def test_planner(spark):
+    """A transfer runs until its giver reports it; ids go on."""
+    beat = lambda a, s, m, last, live=True: Row(addr=a, size=s, limit=m, last_transfer_id=last, live=live)
+    p = Planner()
+    p.hear([beat(f"h{i}", s, 10, 0) for i, s in enumerate((1, 2, 3, 11, 12, 13), 1)])
+    assert [tuple(r) for r in p.plan(spark).collect()] == [(1, "h6", "h1", 8), (2, "h5", "h2", 7), (3, "h4", "h3", 6)]
+    p.hear([beat("h6", 30, 10, 0), beat("h1", 0, 10, 0)])
+    assert p.plan(spark).count() == 0
+    p.hear([beat("h5", 40, 10, 2)])
+    assert [tuple(r) for r in p.plan(spark).collect()] == [(4, "h5", "h2", 8)]
+    p.hear([beat("h3", 1, 10, 0, live=False), beat("h4", 50, 10, 3)])
+    assert p.plan(spark).count() == 0 and set(p.running) == {1, 4}

@@ -32,6 +32,11 @@ def transfers(hosts: DataFrame, active: DataFrame | None = None, next_id: int =
     return g.join(t, "_rank").select((F.col("_rank") + F.lit(next_id - 1)).cast("long").alias("id"), "from_addr", "to_addr", amount.cast("long").alias("amount"))
 
 
+def running(started: DataFrame, done: DataFrame) -> DataFrame:
+    """Transfers (id, ...) that no host has reported as its last (last_transfer_id)."""
+    return started.join(done.select(F.col("last_transfer_id").alias("id")), "id", "left_anti")
+
+
 def upsert(hosts: DataFrame, updates: DataFrame, arrival: str = "seq") -> DataFrame:
     """Hosts with the last update of each address applied."""
     last = updates.groupBy("addr").agg(F.max_by(F.struct("size", "limit"), arrival).alias("_u")).select("addr", "_u.size", "_u.limit")

@@ -11,7 +11,10 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
 
 LOG = _schema(("ts", T.LongType()), ("severity", T.IntegerType()), ("source", T.StringType()), ("message", T.StringType()))
 #: What a store keeps in its files; the source stands in the partition key alone.
-FILE = _schema(("ts", T.LongType()), ("severity", T.IntegerType()), ("message", T.StringType()), ("source_key", T.StringType()), ("span", T.LongType()))
+#: ``stored`` counts a message's bytes as an append-only file would keep them, so that sizes need no message.
+FILE = _schema(
+    ("ts", T.LongType()), ("severity", T.IntegerType()), ("message", T.StringType()), ("stored", T.IntegerType()), ("source_key", T.StringType()), ("span", T.LongType())
+)
 STAT = _schema(("ts", T.LongType()), ("addr", T.StringType()), ("size", T.LongType()), ("limit", T.LongType()), ("last_transfer_id", T.LongType()))
 TRANSFER = _schema(("id", T.LongType()), ("from_addr", T.StringType()), ("to_addr", T.StringType()), ("amount", T.LongType()))
 COVERAGE = _schema(("source", T.StringType()), ("seg_start", T.LongType()), ("seg_end", T.LongType()), ("hours", T.LongType()))

@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.codec import entry_size, source_key, source_of
+from tidelog.functions.codec import entry_size_of, message_size, source_key, source_of
 from tidelog.functions.patterns import matches
 from tidelog.functions.timing import floor_hour, hour_floor
-from tidelog.operators.balance import oldest_chunk
 from tidelog.operators.coverage import hours
 from tidelog.operators.merge import merge, without_late
 from tidelog.plans.query import LogQuery, any_of, per_query
-from tidelog.schema import FILE, HOUR_NS
+from tidelog.schema import FILE, HOUR_NS, LOG
 
 #: Rows of a file at most; a full span of a busy source is several files.
 MOST_ROWS = 5_000_000
@@ -57,16 +56,14 @@ class LogStore:
         if not self.exists():
             return []
         fs, at = self._fs()
-        found = []
+        jvm = self.spark.sparkContext._jvm
+        plain = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
         wanted = None if keys is None else set(keys)
-        for source in fs.listStatus(at):
-            name = source.getPath().getName()
-            if not name.startswith("source_key="):
-                continue
-            key = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name.split("=", 1)[1])
+        found = []
+        for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(at, "source_key=*/span=*")):
+            key = plain(part.getPath().getParent().getName().split("=", 1)[1])
             if wanted is None or key in wanted:
-                for part in fs.listStatus(source.getPath()):
-                    found.append((key, int(part.getPath().getName().split("=", 1)[1]), part.getPath().toString()))
+                found.append((key, int(part.getPath().getName().split("=", 1)[1]), part.getPath().toString()))
         return found
 
     # -- writing -------------------------------------------------------------
@@ -89,14 +86,16 @@ class LogStore:
         if arrival:
             rows = without_late(rows.withColumn("hour", hour_floor(F.col("ts"))), "_arrival")
             if self.exists():
-                bound = self.table().groupBy(source_key(F.col("source")).alias("_k"), F.col("hour").alias("_h")).agg(F.max("ts").alias("_max"))
+                spans = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+                near = self.table().where(F.col("span").between(self._floor(spans["a"] or 0), self._floor(spans["b"] or 0)))  # partitions of the batch's time alone
+                bound = near.groupBy(source_key(F.col("source")).alias("_k"), F.col("hour").alias("_h")).agg(F.max("ts").alias("_max"))
                 rows = rows.withColumn("_key", source_key(F.col("source")))
                 rows = rows.join(bound, (F.col("_key") == F.col("_k")) & (F.col("hour") == F.col("_h")), "left").where("ts >= coalesce(_max, ts)")
         self._write(rows, "append")
 
     def _write(self, rows: DataFrame, mode: str) -> None:
         start = F.col("ts") - F.pmod(F.col("ts"), F.lit(self.span))
-        files = rows.select("ts", "severity", "message", source_key(F.col("source")).alias("source_key"), start.alias("span"))
+        files = rows.select("ts", "severity", "message", message_size(F.col("message")).alias("stored"), source_key(F.col("source")).alias("source_key"), start.alias("span"))
         # rebalancing splits a span that is too large for one task, which repartitioning by key would not
         dealt = files.hint("rebalance", "source_key", "span").sortWithinPartitions("source_key", "span", "ts")
         dealt.write.partitionBy("source_key", "span").option("maxRecordsPerFile", MOST_ROWS).option("partitionOverwriteMode", "dynamic").mode(mode).parquet(self.path)
@@ -104,12 +103,12 @@ class LogStore:
     # -- reading -------------------------------------------------------------
 
     def table(self) -> DataFrame:
-        """ts, severity, source, message, hour, span of everything, from a fresh listing."""
+        """ts, severity, source, message, stored, hour, span of everything, from a fresh listing."""
         if not self.exists():
             files = self.spark.createDataFrame([], FILE)
         else:
             files = self.spark.read.schema(FILE).parquet(self.path)
-        return files.select("ts", "severity", source_of(F.col("source_key")).alias("source"), "message", hour_floor(F.col("ts")).alias("hour"), "span")
+        return files.select("ts", "severity", source_of(F.col("source_key")).alias("source"), "message", "stored", hour_floor(F.col("ts")).alias("hour"), "span")
 
     def _within(self, queries: Iterable[LogQuery]) -> Column:
         """Spans that any query may touch, and times between the first and the last that any asks for."""
@@ -130,8 +129,8 @@ class LogStore:
         return merge([found.select("ts", "severity", "source", "message")], dedup, sort)
 
     def size(self) -> DataFrame:
-        """source, entries, bytes as an append-only file would take them, messages plain."""
-        return self.table().groupBy("source").agg(F.count(F.lit(1)).alias("entries"), F.sum(entry_size(F.col("source"), F.col("message"))).alias("bytes"))
+        """source, entries, bytes as an append-only file would take them, long messages deflated."""
+        return self.table().groupBy("source").agg(F.count(F.lit(1)).alias("entries"), F.sum(entry_size_of(F.col("source"), F.col("stored"))).alias("bytes"))
 
     def coverage(self) -> DataFrame:
         """source, hour of all entries."""
@@ -145,9 +144,10 @@ class LogStore:
         Whole spans go without being read; the span of ``limit`` is rewritten.
         """
         stop = floor_hour(limit) + HOUR_NS
-        keys = self.spark.createDataFrame(sorted({(p[0],) for p in self._partitions()}), "k string")
-        wanted = [r["k"] for r in keys.where(matches(source_of(F.col("k")), source)).collect()]
-        before = [p for p in self._partitions(wanted) if p[1] < stop]
+        every = self._partitions()
+        keys = self.spark.createDataFrame(sorted({(p[0],) for p in every}), "k string")
+        wanted = {r["k"] for r in keys.where(matches(source_of(F.col("k")), source)).collect()}
+        before = [p for p in every if p[0] in wanted and p[1] < stop]
         gone = [p for p in before if p[1] + self.span <= stop]
         partly = [p for p in before if p[1] + self.span > stop]
         for key, start, _ in partly:
@@ -160,17 +160,42 @@ class LogStore:
         self._replace(rows.select("ts", "severity", "source", "message"), key, start)
 
     def _replace(self, rows: DataFrame, key: str, start: int) -> None:
-        stage = f"{self.path}.staged-{uuid.uuid4().hex}"
-        try:
-            rows.write.parquet(stage)
-            staged = self.spark.read.schema(rows.schema).parquet(stage)
-            if staged.isEmpty():
-                self._drop([p for p in self._partitions([key]) if p[1] == start])
-            else:
-                self._write(staged, "overwrite")  # of this partition alone
-        finally:
-            fs, at = self._fs(stage)
-            fs.delete(at, True)
+        """Write a partition's new rows beside the store, then put them in its place.
+
+        If the first step fails, the partition is as it was; if the second
+        does, the copy is whole and stays, and ``recover`` puts it in place.
+        """
+        stage = f"{self.path}.staged/{uuid.uuid4().hex}/start={start}/key={key.encode().hex()}"
+        rows.write.parquet(stage)
+        self._promote(stage, key, start)
+
+    def _promote(self, stage: str, key: str, start: int) -> None:
+        staged = self.spark.read.schema(LOG).parquet(stage)
+        if staged.isEmpty():
+            self._drop([p for p in self._partitions([key]) if p[1] == start])
+        else:
+            self._write(staged, "overwrite")  # of this partition alone
+        fs, at = self._fs(stage)
+        fs.delete(at.getParent().getParent(), True)
+
+    def recover(self) -> int:
+        """Finish or undo what a stopped writer left; for the store's owner, before it writes.  Returns the partitions put in place.
+
+        A copy that was written to its end takes its partition's place, others are removed.
+        """
+        fs, base = self._fs(f"{self.path}.staged")
+        if not fs.exists(base):
+            return 0
+        done = 0
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        for part in fs.globStatus(path(base, "*/start=*/key=*")):
+            at = part.getPath()
+            if fs.exists(path(at, "_SUCCESS")):
+                start = int(at.getParent().getName().split("=", 1)[1])
+                self._promote(at.toString(), bytes.fromhex(at.getName().split("=", 1)[1]).decode(), start)
+                done += 1
+        fs.delete(base, True)
+        return done
 
     def _key(self, source: str) -> str:
         return self.spark.range(1).select(source_key(F.lit(source)).alias("k")).first()["k"]
@@ -185,13 +210,32 @@ class LogStore:
         return len(partitions)
 
     def chunks(self) -> DataFrame:
-        """source, hour, size (bytes of entries) of every hour."""
-        return self.table().groupBy("source", "hour").agg(F.sum(entry_size(F.col("source"), F.col("message"))).alias("size"))
+        """source, hour, size (bytes of entries) of every hour; reads no message."""
+        return self.table().groupBy("source", "hour").agg(F.sum(entry_size_of(F.col("source"), F.col("stored"))).alias("size"))
+
+    def next_chunks(self, budget: int, now: int | None = None) -> Iterator[tuple[str, int, int]]:
+        """Source, hour and size of the chunks that move, one after the other, while the budget lasts.
+
+        Only a source's oldest hour may move, if it lies before the current
+        hour and is smaller than what is left; of those, the oldest, then by
+        source.  The budget only shrinks, so a source whose oldest hour does
+        not fit is out for good, and one pass over all chunks in order makes
+        the whole choice.
+        """
+        limit, out = floor_hour(now if now is not None else time.time_ns()), set()
+        for r in self.chunks().where(F.col("hour") < limit).orderBy("hour", "source").toLocalIterator():
+            if budget <= 0:
+                return
+            if r["source"] not in out:
+                if r["size"] < budget:
+                    budget -= r["size"]
+                    yield r["source"], r["hour"], r["size"]
+                else:
+                    out.add(r["source"])
 
     def next_chunk(self, budget: int, now: int | None = None) -> tuple[str, int, int] | None:
         """Source, hour and size of the chunk that moves next."""
-        found = oldest_chunk(self.chunks(), budget, floor_hour(now if now is not None else time.time_ns())).first()
-        return (found["source"], found["hour"], found["size"]) if found else None
+        return next(self.next_chunks(budget, now), None)
 
     def chunk(self, source: str, hour: int) -> DataFrame:
         table = self.table().where((F.col("span") == self._floor(hour)) & F.col("ts").between(hour, hour + HOUR_NS - 1) & (F.col("source") == source))
@@ -199,27 +243,42 @@ class LogStore:
 
     def accept(self, source: str, hour: int, entries: DataFrame) -> None:
         """Merge entries into a chunk; doing it again changes nothing."""
-        own = entries.where((F.col("source") == source) & (hour_floor(F.col("ts")) == hour)).select("ts", "severity", "source", "message")
-        span = self.table().where((F.col("span") == self._floor(hour)) & (F.col("source") == source) & (F.col("hour") != hour))
-        rest = span.select("ts", "severity", "source", "message")
-        self._replace(merge([merge([own, self.chunk(source, hour)]), rest], dedup=False), self._key(source), self._floor(hour))
+        self._accept(source, self._floor(hour), [hour], entries)
+
+    def _accept(self, source: str, start: int, hours_: list[int], entries: DataFrame) -> None:
+        """Merge entries into hours of one partition, which is rewritten once."""
+        own = entries.where((F.col("source") == source) & hour_floor(F.col("ts")).isin(hours_)).select("ts", "severity", "source", "message")
+        span = self.table().where((F.col("span") == start) & (F.col("source") == source))
+        columns = ["ts", "severity", "source", "message"]
+        there, rest = span.where(F.col("hour").isin(hours_)).select(*columns), span.where(~F.col("hour").isin(hours_)).select(*columns)
+        self._replace(merge([merge([own, there]), rest], dedup=False), self._key(source), start)
 
     def delete_chunk(self, source: str, hour: int) -> None:
         """Drop one hour of a source and nothing else."""
-        self._rewrite(self._key(source), self._floor(hour), ~F.col("ts").between(hour, hour + HOUR_NS - 1))
+        self._delete(source, self._floor(hour), [hour])
+
+    def _delete(self, source: str, start: int, hours_: list[int]) -> None:
+        self._rewrite(self._key(source), start, ~hour_floor(F.col("ts")).isin(hours_))
 
     def transfer(self, to: LogStore, budget: int, now: int | None = None) -> list[tuple[str, int, int]]:
         """Move oldest chunks while the budget lasts; what was moved.
 
-        Each step depends on the one before, and handles one row of metadata.
+        Hours of one partition move together: it is read and rewritten once on
+        either side.  They are given before they are deleted, so that a
+        transfer that stops between leaves entries twice and loses none.
         """
-        moved = []
-        while budget > 0 and (found := self.next_chunk(budget, now)):
-            source, hour, size = found
-            to.accept(source, hour, self.chunk(source, hour))
-            self.delete_chunk(source, hour)
-            moved.append(found)
-            budget -= size
+        moved = list(self.next_chunks(budget, now))
+        groups: dict[tuple[str, int], list[int]] = {}
+        for source, hour, _ in moved:
+            groups.setdefault((source, self._floor(hour)), []).append(hour)
+        for (source, start), found in groups.items():
+            own = self.table().where((F.col("span") == start) & (F.col("source") == source) & F.col("hour").isin(found)).select("ts", "severity", "source", "message")
+            by_span: dict[int, list[int]] = {}
+            for hour in found:
+                by_span.setdefault(to._floor(hour), []).append(hour)
+            for there, hours_ in by_span.items():
+                to._accept(source, there, hours_, own)
+            self._delete(source, start, found)
         return moved
 
     def compact(self, source: str, hour: int) -> None:
