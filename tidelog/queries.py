@@ -11,15 +11,17 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.functions import codec, text, timing
 from tidelog.functions.patterns import matches
 from tidelog.operators import access, balance, coverage, merge, stats
-from tidelog.plans.query import LogQuery, any_of, per_query, query_table
+from tidelog.plans.query import LogQuery, any_of, parse_queries, per_query, query_json, query_table
+from tidelog.schema import STAT
+from tidelog.service import Service
 from tidelog.sources.federation import Federation
-from tidelog.sources.frames import parse_entries, until_empty
+from tidelog.sources.frames import from_internal, parse_entries, read_entries, to_internal, until_empty
 from tidelog.sources.store import LogStore
 from tidelog.streaming import ingest
 
@@ -65,7 +67,11 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share, removed when the JVM ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
     path = f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -117,7 +123,7 @@ def read_all_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge([per_query(entries(spark, sf_dir), [FIRST, SECOND])], dedup=False)
 
 
-_ASKED = f"(VALUES ({START}, {START + DAY}, 0, 255, 'error'), ({START + DAY}, {START + 3 * DAY}, 10, 40, ''), ({START + 2 * DAY}, {START + 2 * DAY}, 0, 255, ''))"
+_ASKED = f"(VALUES ({START}, {START + DAY}, 0, 255, 'error'), ({START + DAY}, {START + 3 * DAY}, 10, 40, ''), ({START + 2 * DAY}, {START + 2 * DAY}, 0, 255, ''), ({START + 4 * DAY}, {START + 5 * DAY}, 0, 255, '[[:alpha:]]{{5}}$'))"
 
 
 @register(
@@ -129,6 +135,7 @@ _ASKED = f"(VALUES ({START}, {START + DAY}, 0, 255, 'error'), ({START + DAY}, {S
 def read_query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries that are rows: a semi join on their hours."""
     rows = [(START, START + DAY, 0, 255, "error"), (START + DAY, START + 3 * DAY, 10, 40, ""), (START + 2 * DAY, START + 2 * DAY, 0, 255, "")]
+    rows += [(START + 4 * DAY, START + 5 * DAY, 0, 255, "[[:alpha:]]{5}$"), (START, START + 30 * DAY, 0, 255, "a++("), (START, START + 30 * DAY, 0, 255, "(?=x)")]
     asked = spark.createDataFrame(rows, "start long, end long, min_severity int, max_severity int, source string")
     return query_table(entries(spark, sf_dir), asked)
 
@@ -138,9 +145,8 @@ def read_query_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_LOG} SELECT ts, source, message, min(severity) AS severity FROM log WHERE {_FIRST_SQL} GROUP BY ts, source, message",
 )
 def federated_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One query on four hosts, each pruned on its own, merged over all."""
-    log = event_log(spark, sf_dir)
-    return merge.merge([log.where(F.col("addr") == a).select("ts", "severity", "source", "message").where(FIRST.predicate()) for a in HOSTS])
+    """One query on the stores of four hosts, each pruned on its own, merged over all."""
+    return _hosts(spark, sf_dir).read(FIRST)
 
 
 @register(
@@ -154,14 +160,34 @@ def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge([log, log.where("severity < 50")], dedup="adjacent")
 
 
+def _hosts(spark: SparkSession, sf_dir: str) -> Federation:
+    """A store per host, filled with its entries."""
+    log = event_log(spark, sf_dir)
+    return Federation({a: _filled(spark, log.where(F.col("addr") == a)) for a in HOSTS})
+
+
 @register("internal_read", f"WITH {_LOG} SELECT severity AS \"Sev\", source AS \"Src\", 0 AS \"Enc\", message AS \"Msg\", ts AS \"Ts\" FROM log WHERE {_SECOND_SQL}")
 def internal_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wire's projection: encoded messages, as text."""
-    e = entries(spark, sf_dir).where(SECOND.predicate())
-    e = e.withColumn("_enc", codec.encoding(F.col("message"))).withColumn("_stored", codec.encode(F.col("message")))
-    return e.select(
-        F.col("severity").alias("Sev"), F.col("source").alias("Src"), F.col("_enc").alias("Enc"), codec.to_transport(F.col("_stored"), F.col("_enc")).alias("Msg"), F.col("ts").alias("Ts")
-    )
+    return to_internal(entries(spark, sf_dir).where(SECOND.predicate()))
+
+
+@register("internal_back", "SELECT doc_id AS ts, 7 AS severity, source, coalesce(text, '') AS message FROM documents")
+def internal_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long messages sent from one log to another, and back as entries."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ts"), F.lit(7).alias("severity"), "source", F.coalesce("text", F.lit("")).alias("message"))
+    return from_internal(to_internal(d))
+
+
+@register(
+    "query_records",
+    f"""SELECT * FROM (VALUES ({START}::BIGINT, {START + DAY}::BIGINT, 0, 255, 'error'), (0::BIGINT, {DAY}::BIGINT, 3, 9, '')) v(start, "end", min_severity, max_severity, source)""",
+)
+def query_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries as records and back; fields may be absent, and what is no record is left out."""
+    asked = spark.createDataFrame([(START, START + DAY, 0, 255, "error")], "start long, end long, min_severity int, max_severity int, source string")
+    plain = spark.createDataFrame([(f'{{"To":{DAY},"MinSev":3,"MaxSev":9,"Other":[1]}}',), ("no record",), ("[1]",)], "value string")
+    return parse_queries(query_json(asked).unionByName(plain))
 
 
 # -- writing and stores --------------------------------------------------------
@@ -224,32 +250,87 @@ def oldest_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.oldest_chunk(chunks, 1_000_000, START + 400 * DAY)
 
 
-@register(
-    "chunk_accept",
-    f"""WITH {_LOG}, h AS (SELECT min({_HOUR}) AS h FROM log WHERE source = 'error')
-    SELECT ts, source, message, min(severity) AS severity FROM log WHERE source = 'error' GROUP BY ts, source, message""",
-)
+@register("chunk_accept", f"WITH {_LOG} SELECT ts, source, message, min(severity) AS severity FROM log GROUP BY ts, source, message")
 def chunk_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk given to a store that has it in part, twice: the second time changes nothing."""
-    log = entries(spark, sf_dir).where("source = 'error'")
-    hour = log.agg(F.min(timing.hour_floor(F.col("ts"))).alias("h")).first()["h"]
-    inside = timing.hour_floor(F.col("ts")) == hour
-    store = _filled(spark, log.where(~inside | (F.col("severity") % 2 == 0)))
-    store.accept("error", hour, log.where(inside))
-    store.accept("error", hour, log.where(inside))
+    """Every source's first hour, given to a store that has it in part, twice: the second time changes nothing."""
+    log = entries(spark, sf_dir).withColumn("hour", timing.hour_floor(F.col("ts")))
+    firsts = {r["source"]: r["h"] for r in log.groupBy("source").agg(F.min("hour").alias("h")).collect()}  # five sources
+    first = F.min("hour").over(Window.partitionBy("source"))
+    parted = log.withColumn("inside", F.col("hour") == first)
+    store = _filled(spark, merge.merge([parted.where("not inside or severity % 2 = 0").select("ts", "severity", "source", "message")]))
+    chunks = parted.where("inside").select("ts", "severity", "source", "message")
+    for _ in range(2):
+        for source, hour in firsts.items():
+            store.accept(source, hour, chunks)
     return store.table().select("ts", "severity", "source", "message")
 
 
-@register("transfer_keeps_all", f"WITH {_LOG} SELECT ts, source, message, min(severity) AS severity FROM log WHERE ts < {START + DAY} GROUP BY ts, source, message")
+@register("transfer_keeps_all", f"WITH {_LOG} SELECT ts, source, message, min(severity) AS severity FROM log GROUP BY ts, source, message")
 def transfer_keeps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Oldest chunks moved to a second store: both together hold what the first held."""
-    day = entries(spark, sf_dir).where(F.col("ts") < START + DAY)
-    hosts = Federation({"a": _filled(spark, day), "b": LogStore(spark, work_dir(spark))})
+    hosts = Federation({"a": _filled(spark, entries(spark, sf_dir)), "b": LogStore(spark, work_dir(spark))})
     sizes = hosts.stores["a"].size().agg(F.sum("bytes").alias("n")).first()["n"] or 0
     hosts.stores["a"].transfer(hosts.stores["b"], max(1, sizes // 50), START + 400 * DAY)
     return hosts.read(LogQuery(START - DAY, START + 400 * DAY))
 
 
+@register(
+    "transfer_chunks",
+    f"""WITH RECURSIVE {_LOG}, c AS (SELECT source, {_HOUR} AS hour, CAST(sum(35 + strlen(source) + strlen(message)) AS BIGINT) AS size FROM log GROUP BY 1, 2),
+    o AS (SELECT *, row_number() OVER (ORDER BY hour, source) AS r FROM c),
+    step AS (SELECT 0::BIGINT AS r, 30000::BIGINT AS budget, []::VARCHAR[] AS gone, NULL::VARCHAR AS source, NULL::BIGINT AS hour, NULL::BIGINT AS size, false AS moves
+      UNION ALL SELECT o.r, CASE WHEN t THEN step.budget - o.size ELSE step.budget END,
+        CASE WHEN step.budget > 0 AND o.size >= step.budget AND NOT list_contains(step.gone, o.source) THEN list_append(step.gone, o.source) ELSE step.gone END, o.source, o.hour, o.size, t
+      FROM step JOIN o ON o.r = step.r + 1, LATERAL (SELECT step.budget > 0 AND o.size < step.budget AND NOT list_contains(step.gone, o.source) AS t) WHERE step.budget > 0)
+    SELECT source, hour, size FROM step WHERE moves""",
+)
+def transfer_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that move while a budget lasts, each a source's oldest that is left."""
+    store = _filled(spark, entries(spark, sf_dir))
+    return spark.createDataFrame(list(store.next_chunks(30_000, START + 400 * DAY)), "source string, hour long, size long")
+
+
+@register(
+    "fanout_truncate",
+    f"WITH {_LOG} SELECT ts, source, message, min(severity) AS severity FROM log WHERE NOT (regexp_matches(source, 'err|click') AND {_HOUR} <= {timing.floor_hour(LIMIT)}) GROUP BY ts, source, message",
+)
+def fanout_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A limit given as a distance from now, for two patterns, on every host of a federation."""
+    service = Service(spark, _hosts(spark, sf_dir))
+    service.truncate(("admin", "admin"), "-1h30m", "err, click", now=LIMIT + 90 * 60 * 10**9)
+    return service.logs.read(LogQuery(START - DAY, START + 400 * DAY))
+
+
+@register("each_log", f"WITH {_LOG} SELECT addr, count(*) AS entries FROM log GROUP BY addr")
+def each_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An action on every host's store."""
+    hosts, found = _hosts(spark, sf_dir), []
+    hosts.for_each(lambda store: found.append(store.size().agg(F.sum("entries").alias("entries"))))
+    return merge.merge([f.select(F.lit(a).alias("addr"), "entries") for a, f in zip(hosts.stores, found, strict=True)], dedup=False)
+
+
+@register("stat_of_log", f"""WITH {_LOG} SELECT '' AS addr, CAST(sum(35 + strlen(source) + strlen(message)) AS BIGINT) AS size, 5000::BIGINT AS "limit" FROM log""")
+def stat_of_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a single log says of itself."""
+    people = access.users(spark, [("op", ["instance"], "key")])
+    return Service(spark, _filled(spark, entries(spark, sf_dir)), people, 5000).stat(("op", "key"))
+
+
+@register("store_recovery", f"WITH {_LOG} SELECT ts, severity, source, message FROM log WHERE NOT (source = 'error' AND {_HOUR} = (SELECT min({_HOUR}) FROM log WHERE source = 'error'))")
+def store_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A writer stopped twice: between the two steps of a rewrite, whose copy is put in place, and within the first, whose copy is removed."""
+    log = entries(spark, sf_dir)
+    store = _filled(spark, log)
+    hour = log.where("source = 'error'").agg(F.min(timing.hour_floor(F.col("ts"))).alias("h")).first()["h"] or 0
+    day, key = hour - hour % DAY, store._key("error")
+    copy = log.where((F.col("source") == "error") & (F.col("ts") >= day) & (F.col("ts") < day + DAY))
+    whole, torn = (f"{store.path}.staged/{name}/start={day}/key={key.encode().hex()}" for name in ("whole", "torn"))
+    copy.where(timing.hour_floor(F.col("ts")) != hour).write.parquet(whole)
+    copy.limit(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(torn)
+    LogStore(spark, store.path).recover()
+    return store.table().select("ts", "severity", "source", "message")
+
+
 # -- coverage --------------------------------------------------------------------
 
 _ISLANDS = """SELECT source, min(hour) AS seg_start, max(hour) + 3600000000000 AS seg_end, count(*) AS hours
@@ -360,6 +441,18 @@ def balancer_with_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balance.transfers(stats.latest(beats(spark, sf_dir)), active, next_id=7)
 
 
+@register(
+    "balancer_completed",
+    f"""WITH {_BEATS}, free AS (SELECT * FROM latest WHERE addr NOT IN ('h1', 'h8')), {_RANKED}
+    SELECT g.r + 7 AS id, g.addr AS from_addr, t.addr AS to_addr, CAST(least(g.size - g."limit" // 2, t."limit" - t.size) AS BIGINT) AS amount FROM g JOIN t USING (r)""",
+)
+def balancer_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of two transfers one was reported complete: its hosts take part again."""
+    started = spark.createDataFrame([(6, "h1", "h8", 5), (7, "h2", "h3", 5)], "id long, from_addr string, to_addr string, amount long")
+    done = spark.createDataFrame([("h2", 7), ("h1", 4)], "addr string, last_transfer_id long")
+    return balance.transfers(stats.latest(beats(spark, sf_dir)), balance.running(started, done), next_id=8)
+
+
 @register("host_updates", f"""WITH {_BEATS}, u AS (SELECT addr, size + 1 AS size, "limit" FROM latest WHERE addr < 'h2')
     SELECT addr, CAST(size AS BIGINT) AS size, "limit" FROM latest WHERE addr NOT IN (SELECT addr FROM u) AND addr <> 'h9' UNION ALL SELECT addr, CAST(size AS BIGINT), "limit" FROM u""")
 def host_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,6 +517,70 @@ def percent_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", text.percent_full(F.col("c_acctbal"), F.col("c_nationkey")).alias("pct"))
 
 
+@register("usage_lines", f"""WITH {_BEATS}, s AS (SELECT addr, CAST(size AS BIGINT) AS n, "limit" AS m FROM latest)
+    SELECT addr || ' ' || CASE WHEN n < 1024 THEN n || 'b' ELSE (n // 1024) || 'Kb' END || '/' || CASE WHEN m < 1024 THEN m || 'b' ELSE (m // 1024) || 'Kb' END || ' '
+      || CASE WHEN m = 0 THEN '-' ELSE printf('%.2f%%', n::DOUBLE * 100 / m) END AS line FROM s""")
+def usage_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hosts = stats.latest(beats(spark, sf_dir))
+    return hosts.select(text.format_usage(F.col("addr"), F.col("size"), F.col("limit")).alias("line"))
+
+
+@register("fingerprints", "SELECT doc_id, md5(text) AS digest FROM documents")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.lower(F.hex(codec.fingerprint(F.col("text")))).alias("digest"))
+
+
+@register(
+    "file_ids",
+    f"""WITH {_LOG}, h AS (SELECT DISTINCT source, strftime(make_timestamp({_HOUR} // 1000), '%Y.%m.%d.%H') AS hour FROM log)
+    SELECT translate(to_base64(encode(source)), '+/', '-_') || '/' || hour AS id, source, hour FROM h UNION ALL SELECT '%%%/a/b', '', 'a/b'""",
+)
+def file_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of files, made and taken apart; one whose directory is no source's name."""
+    log = entries(spark, sf_dir)
+    ids = log.select(codec.file_id(F.col("source"), timing.hour_name(F.col("ts"))).alias("id")).distinct()
+    ids = ids.unionByName(spark.createDataFrame([("%%%/a/b",)], "id string"))
+    return ids.select("id", codec.source_of_file(F.col("id")).alias("source"), codec.hour_of_file(F.col("id")).alias("hour"))
+
+
+@register(
+    "durations",
+    """SELECT * FROM (VALUES ('-1.5h', -5400000000000), ('2h45m', 9900000000000), ('300ms', 300000000), ('1us', 1000), ('-2µs', -2000), ('+7ns', 7), ('0', 0), ('.5s', 500000000),
+    ('1h1m1s1ms1us1ns', 3661001001001)) v(text, ns)""",
+)
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = ["-1.5h", "2h45m", "300ms", "1us", "-2µs", "+7ns", "0", ".5s", "1h1m1s1ms1us1ns"]
+    return spark.createDataFrame([(t, timing.parse_duration(t)) for t in texts], "text string, ns long")
+
+
+@register(
+    "base_ranges",
+    f"""SELECT * FROM (VALUES ('2024-01-01 00:00:00', '24h', {START}, {START + DAY}), ('2024-01-02 00:00:00', '-24h', {START}, {START + DAY}),
+    ('2023-12-31 23:59:59', '0', {START - 10**9}, {START - 10**9})) v(base, range, start, "end")""",
+)
+def base_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed intervals of a base and a signed distance."""
+    given = [("2024-01-01 00:00:00", "24h"), ("2024-01-02 00:00:00", "-24h"), ("2023-12-31 23:59:59", "0")]
+    return spark.createDataFrame([(b, r, *timing.interval(timing.parse_base(b), timing.parse_duration(r))) for b, r in given], "base string, range string, start long, end long")
+
+
+@register(
+    "comma_lists",
+    """SELECT * FROM (VALUES ('a, b ,c', 0, 'a'), ('a, b ,c', 1, 'b'), ('a, b ,c', 2, 'c'), ('x{1,2}', 0, 'x{1'), ('x{1,2}', 1, '2}'), ('one', 0, 'one'), (',', 0, ''), (',', 1, '')) v(text, nth, item)""",
+)
+def comma_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(t, i, x) for t in ("a, b ,c", "x{1,2}", "one", "", ",") for i, x in enumerate(text.split_list(t))], "text string, nth int, item string")
+
+
+@register("frames_roundtrip", f"WITH {_LOG} SELECT severity, source, message, count(*) AS n FROM log GROUP BY ALL")
+def frames_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries as records between NULs in files, and an empty record after them, read again."""
+    base = work_dir(spark)
+    made = entries(spark, sf_dir).select(text.entry_json(F.col("ts"), F.col("source"), F.col("severity"), F.col("message")).alias("value"))
+    made.unionByName(spark.createDataFrame([("",)], "value string")).write.option("lineSep", "\0").text(base)
+    return read_entries(spark, base, framed=True).groupBy("severity", "source", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("json_roundtrip", f"WITH {_LOG} SELECT severity, source, message, count(*) AS n FROM log GROUP BY ALL")
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries as JSON lines, parsed again."""
@@ -455,10 +612,19 @@ def source_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- access ------------------------------------------------------------------------------
 
-_MATRIX = [(r, a, a in access.ALLOWED[r]) for r in access.ROLES for a in access.ACTIONS]
+#: What every role may do, written out; fixed values.
+_MATRIX = """
+  ('reader', 'read', true), ('reader', 'write', false), ('reader', 'iread', false), ('reader', 'transfer', false), ('reader', 'accept', false),
+  ('reader', 'truncate', false), ('reader', 'stat', false), ('reader', 'user', false), ('reader', 'pass', true),
+  ('writer', 'read', false), ('writer', 'write', true), ('writer', 'iread', false), ('writer', 'transfer', false), ('writer', 'accept', false),
+  ('writer', 'truncate', false), ('writer', 'stat', false), ('writer', 'user', false), ('writer', 'pass', true),
+  ('admin', 'read', true), ('admin', 'write', false), ('admin', 'iread', false), ('admin', 'transfer', false), ('admin', 'accept', false),
+  ('admin', 'truncate', true), ('admin', 'stat', true), ('admin', 'user', true), ('admin', 'pass', true),
+  ('instance', 'read', true), ('instance', 'write', true), ('instance', 'iread', true), ('instance', 'transfer', true), ('instance', 'accept', true),
+  ('instance', 'truncate', true), ('instance', 'stat', true), ('instance', 'user', true), ('instance', 'pass', true)"""
 
 
-@register("acl_matrix", "SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{a}', {str(y).lower()})" for r, a, y in _MATRIX) + ") v(role, action, allowed)")
+@register("acl_matrix", f"SELECT * FROM (VALUES {_MATRIX}) v(role, action, allowed)")
 def acl_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, a = access.roles(spark), access.actions(spark)
     pairs = r.join(F.broadcast(a), F.lit(True))  # four roles, nine actions
@@ -480,6 +646,19 @@ def acl_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.decide(spark, spark.createDataFrame(asked, "user string, password string, action string"), people)
 
 
+@register(
+    "user_edits",
+    """SELECT * FROM (VALUES ('admin', 8, true), ('all', 1, false), ('new', 3, true), ('op', 16, false)) v("user", roles, has_password)""",
+)
+def user_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles set, unknown ones ignored; passwords set and taken away; users deleted, but for the two that stay."""
+    people = access.users(spark, [("admin", ["admin"], "admin"), ("all", [], ""), ("op", ["instance"], "key"), ("old", ["reader"], "x")])
+    people = access.set_roles(access.set_roles(people, "all", ["reader"]), "new", ["reader", "writer", "nobody"])
+    people = access.set_password(access.set_password(people, "new", "pw"), "op", "")
+    people = access.delete_user(access.delete_user(access.delete_user(people, "old"), "admin"), "all")
+    return people.select("user", "roles", F.col("password_hash").isNotNull().alias("has_password"))
+
+
 # -- streams -------------------------------------------------------------------------------
 
 
@@ -501,23 +680,12 @@ def _through(spark: SparkSession, rows: DataFrame, files: int, order: str, trans
 
 @register(
     "stream_late_drop",
-    f"""WITH {_LOG}, d AS (SELECT * FROM log WHERE ts < {START + 2 * DAY}),
-    m AS (SELECT *, max(ts) OVER (PARTITION BY source, {_HOUR} ORDER BY (seq * 7919) % 10007, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bound FROM d)
-    SELECT ts, severity, source, message, (seq * 7919) % 10007 * 1000000 + seq AS seq FROM m WHERE ts >= greatest(coalesce(bound, 0), 0)""",
-)
-def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two days that arrive out of order, over several micro-batches."""
-    return _late_dropped(spark, event_log(spark, sf_dir).where(F.col("ts") < START + 2 * DAY))
-
-
-@register(
-    "stream_late_drop_whole",
     f"""WITH {_LOG},
     m AS (SELECT *, max(ts) OVER (PARTITION BY source, {_HOUR} ORDER BY (seq * 7919) % 10007, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bound FROM log)
     SELECT ts, severity, source, message, (seq * 7919) % 10007 * 1000000 + seq AS seq FROM m WHERE ts >= greatest(coalesce(bound, 0), 0)""",
 )
-def stream_late_drop_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over the whole table."""
+def stream_late_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that arrive out of order, over several micro-batches."""
     return _late_dropped(spark, event_log(spark, sf_dir))
 
 
@@ -526,15 +694,9 @@ def _late_dropped(spark: SparkSession, log: DataFrame) -> DataFrame:
     return _through(spark, mixed, 3, "seq", ingest.drop_late)
 
 
-@register("stream_dedup", f"WITH {_LOG} SELECT DISTINCT ts, severity, source, message FROM log WHERE ts < {START + 3 * DAY}")
+@register("stream_dedup", f"WITH {_LOG} SELECT DISTINCT ts, severity, source, message FROM log")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry delivered twice."""
-    return _delivered_once(spark, entries(spark, sf_dir).where(F.col("ts") < START + 3 * DAY))
-
-
-@register("stream_dedup_whole", f"WITH {_LOG} SELECT DISTINCT ts, severity, source, message FROM log")
-def stream_dedup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over the whole table."""
     return _delivered_once(spark, entries(spark, sf_dir))
 
 
@@ -552,15 +714,9 @@ def stream_latest_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("addr").agg(F.max_by(F.struct("ts", "size", "limit"), "batch").alias("_s")).select("addr", "_s.ts", "_s.size", "_s.limit")
 
 
-@register("stream_ingest", f"WITH {_LOG} SELECT ts, severity, source, message FROM log WHERE ts < {START + DAY}")
+@register("stream_ingest", f"WITH {_LOG} SELECT ts, severity, source, message FROM log")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of files of one day appended to a store, then read from it."""
-    return _ingested(spark, entries(spark, sf_dir).where(F.col("ts") < START + DAY))
-
-
-@register("stream_ingest_whole", f"WITH {_LOG} SELECT ts, severity, source, message FROM log")
-def stream_ingest_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over the whole table."""
+    """A stream of files appended to a store, then read from it."""
     return _ingested(spark, entries(spark, sf_dir))
 
 
@@ -574,19 +730,32 @@ def _ingested(spark: SparkSession, log: DataFrame) -> DataFrame:
 
 @register(
     "stream_hourly",
-    f"""WITH {_LOG}, d AS (SELECT *, {_HOUR} AS hour_start FROM log WHERE ts < {START + 3 * DAY}), w AS (SELECT max(ts) AS t FROM d)
+    f"""WITH {_LOG}, d AS (SELECT *, {_HOUR} AS hour_start FROM log), w AS (SELECT max(ts) AS t FROM d)
     SELECT source, hour_start, count(*) AS entries FROM d, w WHERE hour_start + 3600000000000 <= t GROUP BY ALL""",
 )
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling hours that the watermark has passed, over three days."""
-    return _through(spark, entries(spark, sf_dir).where(F.col("ts") < START + 3 * DAY), 2, "ts", ingest.hourly)
+    """Tumbling hours that the watermark has passed."""
+    return _through(spark, entries(spark, sf_dir), 2, "ts", ingest.hourly)
 
 
 @register(
-    "stream_hourly_whole",
-    f"""WITH {_LOG}, d AS (SELECT *, {_HOUR} AS hour_start FROM log), w AS (SELECT max(ts) AS t FROM d)
-    SELECT source, hour_start, count(*) AS entries FROM d, w WHERE hour_start + 3600000000000 <= t GROUP BY ALL""",
+    "stream_rebalance",
+    """SELECT * FROM (VALUES (0, 1, 'h6', 'h1', 8), (0, 2, 'h5', 'h2', 7), (0, 3, 'h4', 'h3', 6), (1, 4, 'h6', 'h1', 10)) v(batch, id, from_addr, to_addr, amount)""",
 )
-def stream_hourly_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over the whole table."""
-    return _through(spark, entries(spark, sf_dir), 2, "ts", ingest.hourly)
+def stream_rebalance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transfers planned after every micro-batch: hosts of running ones sit out until the giver reports its transfer as its last."""
+    base = work_dir(spark)
+    first = [(1, f"h{i}", s, 10, 0) for i, s in enumerate((1, 2, 3, 11, 12, 13), 1)]
+    second = [(2, "h6", 15, 10, 1), (2, "h1", 0, 10, 0), (2, "h5", 30, 10, 0), (2, "h2", 0, 10, 0)]
+    for rows in (first, second):
+        spark.createDataFrame(rows, STAT).repartition(1).write.mode("append").json(f"{base}/in")
+    beats_ = spark.readStream.schema(STAT).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+    plans: list[tuple] = []
+    batches = iter(range(1 << 30))
+
+    def sink(plan: DataFrame) -> None:
+        batch = next(batches)
+        plans.extend((batch, *r) for r in plan.collect())
+
+    ingest.plan_transfers(ingest.latest_beats(beats_, "ts", timeout_ms=None), f"{base}/state", sink).awaitTermination()
+    return spark.createDataFrame(plans, "batch int, id int, from_addr string, to_addr string, amount int")
