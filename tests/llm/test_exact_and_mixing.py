@@ -69,6 +69,15 @@ def test_dedup_of_nothing_and_of_one_group(spark):
     assert many.where("kept").collect()[0]["doc_id"] == 0 and many.where("group_size = 300").count() == 300
 
 
+def test_dedup_keeps_clashing_names_apart(spark):
+    rows = [(1, "a b", "own", 1, "own"), (2, "ab", "own", 2, "own"), (2, "ab", "own", 2, "own"), (None, "c", "own", 3, "own")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _id string, `x.y` int, _norm string")
+    for digest in ({}, {"digest": lambda c: F.length(c).cast("string")}):  # with a weak one, contents share digests
+        got = exact_dedup(d, carry=True, **digest)
+        assert {"_id", "x.y", "_norm"} <= set(got.columns) and {(r["_id"], r["_norm"]) for r in got.collect()} == {("own", "own")}
+        assert sorted((r["x.y"], r["keep_id"], r["group_size"], r["kept"]) for r in got.collect()) == [(1, 1, 3, True), (2, 1, 3, False), (2, 1, 3, False), (3, None, 1, True)]
+
+
 def plain_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
     """By repeated resharing."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]

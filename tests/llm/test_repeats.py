@@ -128,6 +128,18 @@ def test_rows_that_stay(spark):
     assert without_near_copies(d.where("false")).count() == 0
 
 
+def test_recall_at_the_threshold(spark):
+    """600 pairs of similarity 0.802 (89 of 111 n-grams): at least 0.9 of them, by design 0.9995, are linked."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(104)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-11] + [f"v{rng.randint(0, 10**9)}" for _ in range(11)]))]
+    got = similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.where("doc_id % 2 = 1 and class_id = doc_id - 1 and n_links = 1").count() >= 598
+    assert got.where("class_id <> doc_id - doc_id % 2").count() <= 2
+
+
 def test_similar_of_nothing(spark):
     assert similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

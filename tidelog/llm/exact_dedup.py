@@ -50,20 +50,21 @@ def exact_dedup(
     the smallest id; of repeated rows with that id, one stays.  A null id
     comes after every other and keeps its null.  A null text counts as empty,
     so null, empty and blank texts are one group.  Ids are integers; other
-    columns are ignored, or returned behind the five with ``carry`` (a column
-    of one of the five names is then left out, the id excepted).  ``digest``
+    columns are ignored, whatever their names, or returned behind the five
+    with ``carry`` (a column of one of the five names is then left out, the id
+    excepted).  An empty table gives no rows.  ``digest``
     may be weak: contents are compared everywhere.
     """
     if not 1 <= salts <= SALTS:
         raise ValueError(f"salts must be 1 to {SALTS}")
     made = {"keep_id", "group_size", "kept", "text_sha256"}
     extra = [c for c in docs.columns if c != id_col and c not in made] if carry else []
-    norm = normalised(F.col(text_col))
+    text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(
-        F.col(id_col).cast("long").alias("_id"),
-        norm.alias("_norm"),
-        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("_points"),
-        *[F.col(c) for c in extra],
+        F.col(f"`{id_col}`").cast("long").alias("_id"),
+        normalised(text).alias("_norm"),
+        F.char_length(F.coalesce(text, F.lit(""))).alias("_points"),
+        *[F.col(f"`{c}`").alias(f"_x{i}") for i, c in enumerate(extra)],
     ).withColumns({"_digest": digest(F.col("_norm")).cast("string"), "_salt": F.pmod(F.xxhash64("_id"), F.lit(salts)).cast("int")})
 
     # the order "most points, then smallest id" as one decimal, which hash aggregation can hold
@@ -96,8 +97,8 @@ def exact_dedup(
         "keep_id",
         "group_size",
         (F.col("_id").eqNullSafe(F.col("keep_id")) & (nth == 1)).alias("kept"),
-        (F.col("_digest") if digest is sha256 else sha256(norm) if text_col in extra else F.lit(None).cast("string")).alias("text_sha256"),
-        *extra,
+        (F.col("_digest") if digest is sha256 else sha256(normalised(F.col(f"_x{extra.index(text_col)}"))) if text_col in extra else F.lit(None).cast("string")).alias("text_sha256"),
+        *[F.col(f"_x{i}").alias(c) for i, c in enumerate(extra)],
     )
 
 
@@ -106,9 +107,10 @@ def _told_apart(rows: DataFrame, classes: DataFrame) -> DataFrame:
     few = rows.join(classes.select("_digest").distinct(), "_digest", "left_semi")
     salted = few.groupBy("_digest", "_salt", "_norm").agg(F.count(F.lit(1)).alias("_c"))
     texts = salted.groupBy("_digest", "_norm").agg(F.sum("_c").alias("group_size"), F.bit_or(F.expr("shiftleft(1L, _salt)")).alias("_mask"))
-    # a class is found again by its size, salts and a second hash, then held against the content by its winner
-    known = classes.select("_digest", "keep_id", "group_size", "_mask", "_class")
-    winners = texts.withColumn("_class", F.xxhash64("_norm")).join(known, ["_digest", "group_size", "_mask", "_class"])
+    # a class is found again by its winner: the row of that id, told by a second hash, has the class's content
+    known = classes.select("_digest", F.col("keep_id").alias("_k"), "_class")
+    named = few.withColumn("_class", F.xxhash64("_norm")).join(known, ["_digest", "_class"]).where(F.col("_id").eqNullSafe(F.col("_k")))
+    winners = texts.join(named.select("_digest", "_norm", F.col("_k").alias("keep_id")).distinct(), ["_digest", "_norm"])
     by_salt = winners.select(
         "_digest", "_norm", "keep_id", "group_size", F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> shiftright(_mask, s) & 1L = 1L)")).alias("_salt")
     )

@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm.common import columns
 from tidelog.llm.tokens import MOST_CACHED, encoder, vocabulary_path
@@ -174,8 +175,9 @@ def count_with_edits(docs: DataFrame, edits_col: str, id_col: str = "doc_id", te
     string), applied one after the other, each to what the one before left;
     spans are cut off at the text's ends.  Null texts are empty, null arrays
     and null edits are left out, a null replacement is empty.  ``n_encoded``
-    counts the pre-tokens that edits encoded.  Ids may be null or repeated;
-    other columns are ignored.
+    counts the pre-tokens that edits encoded.  Ids may be null or repeated:
+    rows are counted one by one.  Other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
     path = tokenizer or vocabulary_path()
 
@@ -194,9 +196,9 @@ def count_with_edits(docs: DataFrame, edits_col: str, id_col: str = "doc_id", te
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["_id", *NAMES])
 
-    named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(edits_col).cast("array<struct<start:bigint,stop:bigint,replacement:string>>").alias("_edits"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    out = named.mapInArrow(run, f"_id {kind}, " + ", ".join(f"{n} long" for n in NAMES))
+    own = lambda c: F.col(f"`{c}`")
+    named = docs.select(own(id_col).alias("_id"), own(text_col).cast("string").alias("_text"), own(edits_col).cast("array<struct<start:bigint,stop:bigint,replacement:string>>").alias("_edits"))
+    out = named.mapInArrow(run, T.StructType([T.StructField("_id", docs.schema[id_col].dataType), *(T.StructField(n, T.LongType()) for n in NAMES)]))
     return out.withColumnRenamed("_id", id_col)
 
 
