@@ -161,9 +161,9 @@ def merge_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hosts(spark: SparkSession, sf_dir: str) -> Federation:
-    """A store per host, filled with its entries."""
+    """A store per host, filled with its entries; so few a day that a partition takes ten days."""
     log = event_log(spark, sf_dir)
-    return Federation({a: _filled(spark, log.where(F.col("addr") == a)) for a in HOSTS})
+    return Federation({a: _filled(spark, log.where(F.col("addr") == a), 10 * DAY) for a in HOSTS})
 
 
 @register("internal_read", f"WITH {_LOG} SELECT severity AS \"Sev\", source AS \"Src\", 0 AS \"Enc\", message AS \"Msg\", ts AS \"Ts\" FROM log WHERE {_SECOND_SQL}")
@@ -193,8 +193,8 @@ def query_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- writing and stores --------------------------------------------------------
 
 
-def _filled(spark: SparkSession, log: DataFrame, **options) -> LogStore:
-    store = LogStore(spark, work_dir(spark))
+def _filled(spark: SparkSession, log: DataFrame, span: int = DAY, **options) -> LogStore:
+    store = LogStore(spark, work_dir(spark), span)
     store.append(log, **options)
     return store
 
