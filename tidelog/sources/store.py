@@ -55,15 +55,16 @@ class LogStore:
         """Key, start of the span and path of every partition (metadata only)."""
         if not self.exists():
             return []
-        fs, at = self._fs()
-        jvm = self.spark.sparkContext._jvm
-        plain = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+        # Spark's own discovery, which lists many folders as a job and reads no file
+        leaf = self.spark.read.schema(FILE).parquet(self.path)._jdf.queryExecution().analyzed().collectLeaves().head()
+        parts = leaf.relation().location().partitionSpec().partitions()
         wanted = None if keys is None else set(keys)
         found = []
-        for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(at, "source_key=*/span=*")):
-            key = plain(part.getPath().getParent().getName().split("=", 1)[1])
+        for i in range(parts.size()):
+            part = parts.apply(i)
+            key = part.values().getUTF8String(0).toString()
             if wanted is None or key in wanted:
-                found.append((key, int(part.getPath().getName().split("=", 1)[1]), part.getPath().toString()))
+                found.append((key, part.values().getLong(1), part.path().toString()))
         return found
 
     # -- writing -------------------------------------------------------------
