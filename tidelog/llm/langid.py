@@ -3,20 +3,24 @@
 For every language, a tree of byte contexts up to ``order`` bytes holds
 frozen counts.  A byte's probability comes from the longest context that the
 language has seen; an escape (method C, with exclusion) leads to the next
-shorter one.  The code length of a text, in bits, is the sum over its bytes,
-and the language with the shortest code wins.
-
-Because the counts are frozen, the probability of every byte after every
-context is worked out once.  The table is indexed by a dense array over the
-last ``order`` bytes, so scoring is two array look-ups per byte, whatever the
-number of escapes.
+shorter one, and from the empty context to equal shares of 256 bytes.  The
+code length of a text, in bits, is the sum over its bytes, and the language
+with the shortest code wins.
+
+With frozen counts, escaping from a context multiplies by one number, whatever
+the byte: the escape's share over what the shorter context leaves to unseen
+bytes.  So a language is two sparse tables per length, code lengths of seen
+bytes and of escapes, built where its counts are.  Texts are scored by the
+batch: each different run of ``order + 1`` bytes is looked up once.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +31,10 @@ from tidelog.llm.common import columns
 ORDER = 3
 #: Bound of the training sample: about so many bytes of text per language.
 SAMPLE_BYTES = 6 << 20
-#: Contexts seen less often than this in every language fall back to shorter ones.
-LEAST = 3
 UNDETERMINED = "und"
 _BITS = 9  # a byte + 1, or 0 before the start of a text
 _CHUNK = 1 << 20
+_BATCH = 1 << 19
 _GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
 
@@ -102,90 +105,109 @@ def count_grams(sample: DataFrame, order: int) -> DataFrame:
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _low(k: int) -> int:
+    return (1 << (_BITS * k)) - 1
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted keys, and whether they hold what is wanted."""
+    if not keys.size:
+        return np.zeros(wanted.size, np.int64), np.zeros(wanted.size, bool)
+    at = np.minimum(np.searchsorted(keys, wanted), keys.size - 1)
+    return at, keys[at] == wanted
+
+
+class Level:
+    """Contexts of one length: bits of the bytes seen after them, and of their escapes."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, shorter: Level | None, k: int):
+        """keys: sorted contexts with a byte; n: how often."""
+        self.keys = keys
+        self.contexts, first = np.unique(keys >> _BITS, return_index=True)
+        kinds = np.diff(np.append(first, keys.size))
+        owner = np.repeat(np.arange(self.contexts.size), kinds)
+        up = np.full(keys.size, 1 / 256) if shorter is None else np.exp2(-shorter.bits[_find(shorter.keys, keys & _low(k))[0]])
+        total = np.add.reduceat(n, first) if n.size else n
+        left = 1 - np.bincount(owner, weights=up, minlength=self.contexts.size)  # of the shorter context's probability, for bytes not seen here
+        escapes = np.where(left > 1e-9, kinds, 0)
+        self.bits = -np.log2(n / (total + escapes)[owner])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            self.escape = np.where(escapes > 0, -np.log2(kinds / (total + kinds) / left), 60.0)
+
+
+class Tree:
+    """One language's contexts up to ``order`` bytes."""
+
+    def __init__(self, grams: np.ndarray, n: np.ndarray, order: int = ORDER):
+        """grams: each byte behind its ``order`` predecessors, packed; n: how often."""
+        self.order, self.levels = order, []
+        for k in range(order + 1):
+            keys, at = np.unique(grams & _low(k + 1), return_inverse=True)
+            count = np.bincount(at, weights=n, minlength=keys.size)
+            self.levels.append(Level(keys, count, self.levels[-1] if k else None, k))
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code lengths of bytes behind their predecessors."""
+        total, left = np.zeros(grams.size), np.arange(grams.size)
+        for k in range(self.order, -1, -1):
+            level, own = self.levels[k], grams[left] & _low(k + 1)
+            at, hit = _find(level.keys, own)
+            total[left[hit]] += level.bits[at[hit]]
+            left, own = left[~hit], own[~hit]
+            at, hit = _find(level.contexts, own >> _BITS)
+            total[left[hit]] += level.escape[at[hit]]
+        total[left] += 8
+        return total
+
+
 class Ppm:
-    """Frozen context trees of all languages, as tables."""
+    """Frozen context trees of all languages; their size is that of the bounded sample."""
 
-    def __init__(self, counts: list[tuple[str, int, int]], order: int = ORDER, least: int = LEAST):
+    def __init__(self, counts: list[tuple[str, int, int]] | dict[str, Tree], order: int = ORDER):
         self.order = order
-        self.langs = sorted({c[0] for c in counts})
-        if not self.langs:
-            return
-        lang = np.array([self.langs.index(c[0]) for c in counts], np.int64)
-        gram = np.array([c[1] for c in counts], np.int64)
-        n = np.array([c[2] for c in counts], np.float64)
-        mask = (1 << _BITS) - 1
-        seen = np.unique(gram & mask)
-        # class 0 is the start of a text, 1 any byte not seen in training
-        self.of = np.ones(mask + 1, np.int64)
-        self.of[0] = 0
-        self.of[seen] = np.arange(2, seen.size + 2)
-        width, langs = seen.size + 2, len(self.langs)
-        symbols = np.stack([self.of[(gram >> (_BITS * i)) & mask] for i in range(order + 1)])  # 0: the byte itself
-        below = np.full((1, width, langs), 1 / 256)
-        below[:, 0] = 0
-        keys_below, blocks, self.width = np.zeros(1, np.int64), [], width
-        first = 0
-        tables = []
-        for k in range(order + 1):
-            context = np.zeros(gram.size, np.int64)
-            for i in range(k, 0, -1):
-                context = context * width + symbols[i]
-            keys, at = np.unique(context, return_inverse=True)
-            total = np.bincount(at, weights=n, minlength=keys.size)
-            kept = (total >= least) | (k == 0)
-            row = np.cumsum(kept) - 1
-            pick = kept[at]
-            table = np.zeros((int(kept.sum()), width, langs))
-            np.add.at(table, (row[at[pick]], symbols[0][pick], lang[pick]), n[pick])
-            keys = keys[kept]
-            if k:
-                up = below[np.searchsorted(keys_below, keys % width ** (k - 1))]
-            else:
-                up = below
-            below, keys_below = self._escape(table, up), keys
-            blocks.append(below)
-            tables.append((k, keys, first))
-            first += keys.size
-        self.bits = (-np.log2(np.maximum(np.concatenate(blocks), 1e-300))).astype(np.float32).reshape(-1, langs)
-        # row of the longest known context for every combination of the last bytes
-        self.row = np.zeros(width**order, np.int32)
-        every = np.arange(width**order, dtype=np.int64)
-        for k, keys, start in tables[1:]:
-            suffix = every % width**k
-            at = np.minimum(np.searchsorted(keys, suffix), keys.size - 1) if keys.size else None
-            if at is not None:
-                hit = keys[at] == suffix
-                self.row[hit] = start + at[hit]
-
-    @staticmethod
-    def _escape(counts: np.ndarray, up: np.ndarray) -> np.ndarray:
-        """Method C with exclusion; ``up``: the next shorter context's probabilities."""
-        seen = counts > 0
-        total, kinds = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-        left = (up * ~seen).sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = counts / np.where(left > 0, total + kinds, total)
-            escaped = kinds / (total + kinds) * up / left
-        return np.where(total > 0, np.where(seen, own, escaped), up)
-
-    def lengths(self, raw: bytes) -> np.ndarray:
-        """Bits that each language's tree takes for a text."""
-        total = np.zeros(len(self.langs))
-        for values in _segments(raw, self.order):
-            s = self.of[values]
-            n = s.size - self.order
-            context = np.zeros(n, np.int64)
-            for i in range(self.order):
-                context = context * self.width + s[i : i + n]
-            total += self.bits[self.row[context] * np.int64(self.width) + s[self.order :]].sum(0, dtype=np.float64)
+        if isinstance(counts, dict):
+            self.trees = dict(sorted(counts.items()))
+        else:
+            by = {}
+            for lang, gram, n in counts:
+                by.setdefault(lang, []).append((gram, n))
+            self.trees = {lang: Tree(*np.array(sorted(own), np.int64).T, order) for lang, own in sorted(by.items())}
+        self.langs = list(self.trees)
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Bits that each language's tree takes for each text."""
+        total = np.zeros((len(texts), len(self.langs)))
+        held, owner, size = [], [], 0
+
+        def add() -> None:
+            of = np.repeat(owner, [h.size for h in held])
+            at, grams = pd.factorize(np.concatenate(held))
+            for k, tree in enumerate(self.trees.values()):
+                total[:, k] += np.bincount(of, weights=tree.bits(grams)[at], minlength=len(texts))
+
+        for i, raw in enumerate(texts):
+            for values in _segments(raw, self.order):
+                held.append(_grams(values, self.order))
+                owner.append(i)
+                size += held[-1].size
+                if size > _BATCH:
+                    add()
+                    held, owner, size = [], [], 0
+        if size:
+            add()
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not any(map(str.isalpha, text)):
-            return UNDETERMINED, 0.0
-        bits = self.lengths(text.encode())
-        best = int(np.argmin(bits))
-        return self.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text."""
+        known = [i for i, t in enumerate(texts) if t and self.langs and any(map(str.isalpha, t))]
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        if known:
+            bits = self.lengths([texts[i].encode() for i in known])
+            best = bits.argmin(1)
+            share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
+            for i, k, x in zip(known, best.tolist(), share.tolist(), strict=True):
+                out[i] = self.langs[k], x
+        return out
 
 
 def train(labelled: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BYTES) -> Ppm:
@@ -201,8 +223,15 @@ def train(labelled: DataFrame, order: int = ORDER, sample_bytes: int = SAMPLE_BY
     known = labelled.where("lang is not null and text is not null").select("lang", F.col("text").cast("string").alias("text")).withColumn("draw", draw)
     different = known.groupBy("lang", "draw", F.octet_length("text").alias("n")).agg(F.count(F.lit(1)).alias("rows"))
     share = different.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample_bytes)) / F.greatest(F.lit(1), F.sum("n"))).alias("share"), F.min("draw").alias("least"))
-    sample = known.join(share, "lang").where((F.col("draw") < F.col("share")) | (F.col("draw") == F.col("least"))).dropDuplicates(["lang", "draw", "text"])
-    return Ppm([tuple(r) for r in count_grams(sample, order).collect()], order)
+    shares = known.sparkSession.createDataFrame(share.collect(), "lang string, share double, least double")  # a row per language
+    sample = known.join(F.broadcast(shares), "lang").where((F.col("draw") < F.col("share")) | (F.col("draw") == F.col("least"))).dropDuplicates(["lang", "draw", "text"])
+
+    def plant(key: tuple, counts: pa.Table) -> pa.Table:
+        tree = Tree(counts.column("gram").to_numpy(), counts.column("n").to_numpy(), order)
+        return pa.table({"lang": [key[0].as_py()], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    planted = count_grams(sample, order).groupBy("lang").applyInArrow(plant, "lang string, tree binary").collect()  # a row per language
+    return Ppm({r["lang"]: pickle.loads(r["tree"]) for r in planted}, order)
 
 
 def held_out(id_col: Column, modulus: int, remainder: int) -> Column:
@@ -219,17 +248,21 @@ def predict(docs: DataFrame, model: Ppm, id_col: str = "doc_id", text_col: str =
     judged one by one; an empty table gives no rows.  Of ``extra``, columns
     named ``lang_pred`` and ``score`` are left out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # size: contexts x bytes x languages of the bounded sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the bounded samples' different runs of bytes
     keep = [id_col, *(c for c in extra if c not in ("lang_pred", "score"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ppm = shared.value
         for batch in batches:
-            names, scores = [], []
+            found, held, size = [], [], 0
             for (text,) in columns(batch, "_text"):
-                lang, score = ppm.predict(text)
-                names.append(lang)
-                scores.append(score)
+                held.append(text)
+                size += len(text or "")
+                if size > _BATCH:
+                    found += ppm.predict(held)
+                    held, size = [], 0
+            found += ppm.predict(held)
+            names, scores = [f[0] for f in found], [f[1] for f in found]
             own = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*(f"_k{i}" for i in range(len(keep))), "lang_pred", "score"])
 
