@@ -37,6 +37,7 @@ MOST_REPEATED = 20  # percent of words
 SYMBOLS = "#*$%&|<>"
 _SYMBOLS = str.maketrans("", "", SYMBOLS)
 _BLANK_BYTES = b" \t\n\x0b\x0c\r"
+_FEW = 1 << 15
 _OUT = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
     "n_lines long, content_words long, content_share double, kept boolean"
@@ -48,6 +49,8 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     n = len(words) - window + 1
     if n < 2:
         return 0
+    if n < _FEW and len(set(zip(*(words[i:] for i in range(window)), strict=False))) == n:
+        return 0  # the usual case, told at once
     number: dict[bytes, int] = {}
     ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
     # windows get their numbers by doubling: a window of a + b words is a pair of a window of a and one of b
@@ -114,36 +117,38 @@ N_FEATURES = 13
 
 def features(lines: list[str], again: list[bool]) -> tuple[np.ndarray, np.ndarray]:
     """A row per line, and its words."""
-    rows, words = np.zeros((len(lines), N_FEATURES)), np.zeros(len(lines), np.int64)
-    for i, (line, dup) in enumerate(zip(lines, again, strict=True)):
-        w = line.encode().split()
-        n, size = len(w), len(line)
+    rows, words = [], []
+    for line, dup in zip(lines, again, strict=True):
         raw = line.encode()
-        letters = len(raw) - len(raw.translate(None, _LETTERS))
-        upper = len(raw) - len(raw.translate(None, _UPPER))
-        marks = size - len(line.translate(_SYMBOLS))
-        words[i] = n
-        rows[i] = (
-            1.0,
-            min(n, 40) / 40,
-            letters / len(raw),
-            upper / max(1, letters),
-            min(1.0, 4 * marks / max(1, n)),
-            min(1.0, line.count("|") * 2 / n),
-            min(1.0, line.count("!") * 2 / n),
-            len(set(w)) / n,
-            float(len(set(w)) * 2 < n),
-            float(dup),
-            float(line.rstrip().endswith((".", "!", "?", ":"))),
-            min(1.0, sum(map(raw.count, _DIGITS)) * 4 / len(raw)),
-            float(n < 4),
+        size, w = len(raw), raw.split()
+        n, kinds = len(w), len(set(w))
+        letters = size - len(raw.translate(None, _LETTERS))
+        marks = size - len(raw.translate(None, _MARKS))
+        words.append(n)
+        rows.append(
+            (
+                1.0,
+                min(n, 40) / 40,
+                letters / size,
+                (size - len(raw.translate(None, _UPPER))) / max(1, letters),
+                min(1.0, 4 * marks / n),
+                min(1.0, raw.count(b"|") * 2 / n),
+                min(1.0, raw.count(b"!") * 2 / n),
+                kinds / n,
+                kinds * 2 < n,
+                dup,
+                line.rstrip().endswith((".", "!", "?", ":")),
+                min(1.0, (size - len(raw.translate(None, _DIGITS))) * 4 / size),
+                n < 4,
+            )
         )
-    return rows, words
+    return np.array(rows, float).reshape(-1, N_FEATURES), np.array(words, np.int64)
 
 
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
-_DIGITS = [bytes([c]) for c in range(48, 58)]
+_DIGITS = b"0123456789"
+_MARKS = SYMBOLS.encode()
 
 
 class LineField:
