@@ -622,7 +622,8 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, kinds, strict=True)], names=["a", "b", "n", "spans", "kept", "passages"])
 
     done = repeated.mapInArrow(cut, "a long, b long, n long, spans array<struct<start:bigint,stop:bigint>>, kept string, passages long")
-    facts = repeats.classes.join(done, ["a", "b"], "left").where("copies > 1 or n is not null")
+    # staged, so that the rows' join is one of two exchanges, which the adaptive planner splits at a text with many copies
+    facts = staged(repeats.classes.join(done, ["a", "b"], "left").where("copies > 1 or n is not null"), "repeat-facts")
     wordy = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= words
     rows = repeats.base.select("id", "a", "b", "n_bytes", "sha256", F.when(F.col("n_bytes") < length, wordy).otherwise(F.lit(True)).alias("wordy")).join(facts, ["a", "b"], "left")
     copied, part = F.coalesce(F.col("copies") > 1, F.lit(False)), F.col("n").isNotNull()
